@@ -52,3 +52,15 @@ def lower_ascii(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Ids that are broadcast at most: 8 bytes each, so 16 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def filter_by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (left_semi) or is not (left_anti) among
+    ``ids``. The ids are broadcast if counted to be few, else joined by shuffle."""
+    ids = materialize(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satspan.llm import hilbert_sharding, quality_rules, source_mixing
+from satspan.llm import hilbert_sharding, quality_rules, setsketch_dedup, source_mixing
 from satspan.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op7_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_setsketch_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.score(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op9_hilbert_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_sharding.plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -27,6 +33,14 @@ def op9_hilbert_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_capped_water_filling, op7_threshold_table, op9_hilbert_curve)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_capped_water_filling,
+        op7_threshold_table,
+        op8_setsketch_registers,
+        op9_hilbert_curve,
+    )
+}
 
 SQL: dict[str, str] = {}
