@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satspan.llm import hilbert_sharding, quality_rules, setsketch_dedup, source_mixing
+from satspan.llm import hilbert_sharding, quality_rules, setsketch_dedup, source_mixing, warc_bundles
 from satspan.llm.common import table
 
 
+def op3_seekable_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc_bundles.write(table(spark, sf_dir, "pages"))
+    return warc_bundles.read(bundles).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset"
+    )
+
+
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = source_mixing.plan(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -36,6 +43,7 @@ def op9_hilbert_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_seekable_zstandard,
         op5_capped_water_filling,
         op7_threshold_table,
         op8_setsketch_registers,
