@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satspan.llm import hilbert_sharding, quality_rules, setsketch_dedup, source_mixing, warc_bundles
+from satspan.llm import (
+    hilbert_sharding,
+    quality_rules,
+    secret_crf,
+    setsketch_dedup,
+    source_mixing,
+    warc_bundles,
+)
 from satspan.llm.common import table
 
 
+def op1_linear_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_seekable_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc_bundles.write(table(spark, sf_dir, "pages"))
     return warc_bundles.read(bundles).select(
@@ -43,6 +54,7 @@ def op9_hilbert_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_linear_chain_crf,
         op3_seekable_zstandard,
         op5_capped_water_filling,
         op7_threshold_table,
