@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from satspan.llm import (
     hilbert_sharding,
+    license_index,
     quality_rules,
     secret_crf,
     setsketch_dedup,
@@ -51,6 +52,10 @@ def op9_hilbert_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -60,6 +65,7 @@ QUERIES = {
         op7_threshold_table,
         op8_setsketch_registers,
         op9_hilbert_curve,
+        op10_rare_token_index,
     )
 }
 
