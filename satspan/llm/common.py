@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: the six ASCII blanks.
@@ -64,3 +64,30 @@ def filter_by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     ids = materialize(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def global_rank(df: DataFrame, order: list[str], label: str) -> DataFrame:
+    """``df`` with ``rank`` (from 0 in ``order``) and ``n_rows``.
+
+    A range shuffle deals the rows out in order; a row's rank is its place in
+    its partition plus the rows of the partitions before. Only one row per
+    partition meets in one task or is broadcast.
+    """
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    # The id holds the partition in its upper bits and the row's place below.
+    dealt = materialize(dealt.withColumn("place", F.monotonically_increasing_id()), label).withColumns({
+        "part": F.shiftright("place", 33),
+        "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1)),
+    })
+    parts = dealt.groupBy("part").agg((F.max("place") + 1).alias("n_part"))
+    offsets = parts.select(
+        "part",
+        (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("offset"),
+        F.sum("n_part").over(Window.partitionBy()).alias("n_rows"),
+    )
+    return (
+        dealt.join(F.broadcast(offsets), "part")
+        .withColumn("rank", F.col("offset") + F.col("place"))
+        .drop("part", "place", "offset")
+    )

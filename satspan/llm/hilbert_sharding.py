@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from satspan.llm.common import materialize
+from satspan.llm.common import global_rank, materialize
 
 SHARDS = 40
 BITS = 6
@@ -105,21 +105,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
         hilbert_index([F.col("lang_cell"), F.col("source_cell"), length_cell], bits).alias("curve"),
     )
     order = ["curve", "text_crc32", "doc_id", "size"]
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-    # The id holds the partition in its upper bits and the row's place below.
-    dealt = materialize(dealt.withColumn("place", F.monotonically_increasing_id()), "sharding-order").withColumns({
-        "part": F.shiftright("place", 33),
-        "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1)),
-    })
-    # One row per partition of the range shuffle.
-    parts = dealt.groupBy("part").agg((F.max("place") + 1).alias("n_part"))
-    every = Window.partitionBy()
-    offsets = parts.select(
-        "part",
-        (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("offset"),
-        F.sum("n_part").over(every).alias("n_rows"),
-    )
+    dealt = global_rank(placed, order, "sharding-order")
     # n = big * (least + 1) + (shards - big) * least
     least, big = F.expr(f"n_rows div {shards}"), F.expr(f"n_rows % {shards}")
     edge = big * (least + 1)
@@ -127,9 +113,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     shard = F.when(rank < edge, F.floor(rank / (least + 1))).otherwise(big + F.floor((rank - edge) / least))
     start = F.col("shard") * least + F.least(F.col("shard"), big)
     return (
-        dealt.join(F.broadcast(offsets), "part")  # as many rows as partitions
-        .withColumn("rank", F.col("offset") + F.col("place"))
-        .withColumn("shard", shard.cast("int"))
+        dealt.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (rank - start).cast("long"))
         .select("doc_id", "size", "text_crc32", "curve", "rank", "shard", "slot")
     )

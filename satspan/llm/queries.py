@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from satspan.llm import (
     hilbert_sharding,
+    html_differencing,
     license_index,
     quality_rules,
     secret_crf,
@@ -33,6 +34,10 @@ def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_nearest_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_differencing.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -62,6 +67,7 @@ QUERIES = {
         op1_linear_chain_crf,
         op3_seekable_zstandard,
         op5_capped_water_filling,
+        op6_nearest_url_differencing,
         op7_threshold_table,
         op8_setsketch_registers,
         op9_hilbert_curve,
