@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from satspan.llm import (
     hilbert_sharding,
     html_differencing,
+    latent_decontamination,
     license_index,
     quality_rules,
     secret_crf,
@@ -29,6 +30,10 @@ def op3_seekable_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_latent_semantic_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = source_mixing.plan(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -66,6 +71,7 @@ QUERIES = {
     for f in (
         op1_linear_chain_crf,
         op3_seekable_zstandard,
+        op4_latent_semantic_retrieval,
         op5_capped_water_filling,
         op6_nearest_url_differencing,
         op7_threshold_table,
