@@ -10,8 +10,9 @@ similarity, so bands of registers find candidates, the joint likelihood of
 confirmed on the full sets.
 
 Work on groups stays linear: equal sets are one class from the start, a bucket
-links its members to one leader first, and only buckets whose members are not
-yet in one component compare the members of different components.
+links its members to one leader first, and only members of buckets that are not
+yet one component are compared with those of other components, by an exact
+prefix filter on their rarest shingles.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text of one to four words has one shingle, its whole sequence;
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from satspan.llm.common import filter_by_ids, materialize
@@ -123,6 +124,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "items"])
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        component = batch.schema.get_field_index("component")
+        for part in pieces(batch, "text", 1_500_000):
+            sets = shingle_sets(part.column(1))
+            n = np.array([len(s) for s in sets])
+            cols = [np.concatenate(sets).view(np.int64), *(np.repeat(x, n) for x in (part.column(0).to_numpy(), n, part.column(component).to_numpy()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "id", "n", "component"])
+
+
 def _banded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for at in range(0, len(f), 2000):
@@ -168,6 +179,39 @@ def _checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, label: str) ->
     )
 
 
+def _rare_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle among each
+    one's rarest ``n - ceil(0.75 n) + 1``.
+
+    With shingles in one order, two sets of similarity 0.75 must share one of
+    these, so no link is lost, and passages that many texts hold come last in
+    the order and are not paired on.
+    """
+    rows = docs.dropDuplicates(["doc_id"]).mapInArrow(_items, "item long, id long, n long, component long")
+    everywhere = Window.partitionBy("item")
+    rare_first = Window.partitionBy("id").orderBy("copies", "item")
+    shared = rows.withColumn("copies", F.count("*").over(everywhere)).where("copies > 1")
+    # Items of one text only come first in its order; they are n - held.
+    held = F.count("*").over(Window.partitionBy("id"))
+    prefix = (
+        shared.withColumn("place", F.col("n") - held + F.row_number().over(rare_first))
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 75 / 100) + 1)
+        .select("item", "id", "n", "component", (F.col("n") - F.col("place")).alias("after"))
+    )
+    prefix = materialize(prefix, "setsketch-rare")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    return (
+        x.join(
+            y,
+            (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.component") != F.col("y.component"))
+            # After the first shared item at most so many more are shared.
+            & ((1 + F.least("x.after", "y.after")) * 175 >= (F.col("x.n") + F.col("y.n")) * 75),
+        )
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    )
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (least id with an equal set, null
     for an empty set) and component_id."""
@@ -187,21 +231,14 @@ def links(docs: DataFrame) -> DataFrame:
     star = crowded.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     found = _checked(docs, reps, star, "setsketch-star")
     linked = components(found)
-    # Buckets that hold more than one component compare across components.
+    # Members of buckets that hold more than one component compare across
+    # components, by the rare shingles that a linked pair must share.
     place = crowded.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = place.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    place = materialize(place.join(mixed.select("band"), "band", "left_semi"), "setsketch-mixed")
-    x, y = place.alias("x"), place.alias("y")
-    across = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * 75)
-            & (F.col("x.id") != F.col("x.leader")),
-        )
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    )
+    open_ = place.join(mixed.select("band"), "band", "left_semi").select(
+        F.col("id").alias("doc_id"), "component"
+    ).distinct()
+    across = _rare_pairs(filter_by_ids(docs, open_, "inner"))
     more = _checked(docs, reps, across, "setsketch-across")
     joined = components(found.union(more))
     classes = reps.select("set_key", F.col("id").alias("class_id")).join(
