@@ -27,7 +27,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 #: Slices of a source's documents; one slice of one source meets in a task.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
+#: Sources whose bounds are broadcast at most (100 bytes each); more are joined.
+BROADCAST_SOURCES = 100_000
 SEED = 20260101
 
 
@@ -98,6 +100,9 @@ def plan(docs: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
         .select("a.*", F.coalesce("end_slice", F.lit(BUCKETS)).alias("end_slice"), F.coalesce("end_before", F.lit(0)).alias("end_before"))
         .drop("row_count")
     )
+    bounds = materialize(bounds, "mixing-bounds")
+    if bounds.count() <= BROADCAST_SOURCES:
+        bounds = F.broadcast(bounds)
     joined = rows.alias("a").join(bounds.alias("b"), same).select(
         "a.*", "source_size", "target", "whole", "wanted", "end_slice", "end_before"
     )
