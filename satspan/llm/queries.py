@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satspan.llm import (
+    context_mixing,
     hilbert_sharding,
     html_differencing,
     latent_decontamination,
@@ -23,6 +24,10 @@ def op1_linear_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_crf.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_logistic_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op3_seekable_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc_bundles.write(table(spark, sf_dir, "pages"))
     return warc_bundles.read(bundles).select(
@@ -70,6 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_linear_chain_crf,
+        op2_logistic_context_mixing,
         op3_seekable_zstandard,
         op4_latent_semantic_retrieval,
         op5_capped_water_filling,
