@@ -81,7 +81,8 @@ def _cell_of(values: DataFrame, name: str, bits: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, curve index, rank, shard and slot."""
+    """Per row: doc_id, lang, source, size, text_crc32, curve index, rank,
+    shard and slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", "lang", "source",
@@ -101,7 +102,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     placed = rows.join(
         cells, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     ).select(
-        "doc_id", "size", "text_crc32",
+        "doc_id", "lang", "source", "size", "text_crc32",
         hilbert_index([F.col("lang_cell"), F.col("source_cell"), length_cell], bits).alias("curve"),
     )
     order = ["curve", "text_crc32", "doc_id", "size"]
@@ -115,5 +116,5 @@ def plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     return (
         dealt.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (rank - start).cast("long"))
-        .select("doc_id", "size", "text_crc32", "curve", "rank", "shard", "slot")
+        .select("doc_id", "lang", "source", "size", "text_crc32", "curve", "rank", "shard", "slot")
     )

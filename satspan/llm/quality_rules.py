@@ -149,4 +149,7 @@ def score(docs: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
 def keep(docs: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """The rows that no rule rejects, with all their own columns."""
     rows = docs.select(F.struct("*").alias("_row"), "text")
-    return _judged(rows, rules, "_row").where("kept").select("_row.*")
+    # The row number keeps Spark from moving the filter below the projections,
+    # where every measure would be computed anew for each use.
+    judged = _judged(rows, rules, "_row").select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    return judged.where(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")

@@ -257,5 +257,11 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns; of rows with one
     id one stays."""
-    gone = materialize(score(docs).where("not kept").select("doc_id").distinct(), "setsketch-gone")
-    return filter_by_ids(docs, gone, "left_anti").dropDuplicates(["doc_id"])
+    judged = score(docs)
+    gone = judged.where("not kept").select("doc_id").distinct()
+    left = filter_by_ids(docs, gone, "left_anti")
+    again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "setsketch-again")
+    if again.isEmpty():
+        return left
+    once = filter_by_ids(left, again, "left_anti")
+    return once.unionByName(filter_by_ids(left, again, "left_semi").dropDuplicates(["doc_id"]))

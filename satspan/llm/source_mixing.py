@@ -121,10 +121,12 @@ def plan(docs: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
     """The mixed documents with their own columns: a row for each whole
     repetition, and one more where the fractional one takes at least half of
-    the document.  Rows with an id and text alike count as one document."""
-    taken = plan(docs.dropDuplicates(["doc_id"]), seed, share)
+    the document.  Rows with one id share the largest number of them."""
     copies = F.col("whole") + F.when((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
-    counts = taken.select(F.col("doc_id").alias("_id"), copies.cast("int").alias("_copies")).where("_copies > 0")
+    counts = (
+        plan(docs, seed, share).groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0")
+    )
     return (
         docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
