@@ -104,7 +104,10 @@ def _measures(docs: DataFrame, carried: str) -> DataFrame:
         ),
         lambda a: a["n"],
     )
-    return fourth.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("again")
+    # The row number keeps Spark from moving later filters below this point,
+    # where every measure would be computed anew for each of its uses.
+    counted = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long"))
+    return fourth.withColumn("n_repeat_words", counted).drop("again")
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -149,7 +152,4 @@ def score(docs: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
 def keep(docs: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """The rows that no rule rejects, with all their own columns."""
     rows = docs.select(F.struct("*").alias("_row"), "text")
-    # The row number keeps Spark from moving the filter below the projections,
-    # where every measure would be computed anew for each use.
-    judged = _judged(rows, rules, "_row").select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
-    return judged.where(F.col("kept") & (F.col("_n") >= 0)).select("_row.*")
+    return _judged(rows, rules, "_row").where("kept").select("_row.*")
