@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from satspan.functions import orbit
 from satspan.sources.grid import tile, tiles_near
 
-SAFETY_DEG = 0.30
+#: Covers the ellipsoid: geodetic against geocentric latitude (0.19 degrees)
+#: and the shorter polar radius (0.2 degrees of cap), with a margin.
+SAFETY_DEG = 0.60
 
 
 def satellite_states(satellites: DataFrame, times: DataFrame, j2: float = orbit.J2) -> DataFrame:
