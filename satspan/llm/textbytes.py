@@ -19,6 +19,7 @@ _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_KEY = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_KEY = _BYTE_KEY[_LOWER]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -66,19 +67,29 @@ def word_spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) ->
     return start, np.flatnonzero(ends) + 1, np.searchsorted(at, start, side="right") - 1
 
 
+_KNOWN: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse, kept for the next batch."""
+    if len(_KNOWN[0]) < n:
+        for k, x in enumerate((_PRIME, _INVERSE)):
+            grown = np.full(n + n // 4, x, dtype=U)
+            grown[0] = 1
+            _KNOWN[k] = np.multiply.accumulate(grown, out=grown)
+    return _KNOWN[0], _KNOWN[1]
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each lower-cased word (a sum of keyed powers, finalised)."""
     if not len(start):
         return np.zeros(0, dtype=U)
-    power = np.full(len(data) + 1, _PRIME, dtype=U)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, back = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_BYTE_KEY[_LOWER[data]] * power[:-1], out=total[1:])
-    # Divide by the power of the start, so that place does not matter.
-    back = np.full(len(data) + 1, _INVERSE, dtype=U)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
+    keyed = _LOWER_KEY[data]
+    keyed *= power[: len(data)]
+    np.cumsum(keyed, out=total[1:])
+    # Divided by the power of the start, so that place does not matter.
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(U))
 
 
