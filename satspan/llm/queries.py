@@ -87,4 +87,38 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_BLANK = r"[^\x20\x09-\x0D]"
+_STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_RULES = {r.name: r for r in quality_rules.RULES}
+
+#: Twins of the queries that SQL can express in full.
+SQL: dict[str, str] = {
+    "op7_threshold_table": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{_BLANK}+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_BLANK}')) AS ls,
+  length(regexp_replace(t, '{_BLANK.replace("^", "")}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM x),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE len(g) = 8) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws) AS n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(ls) AS n_lines, len(list_filter(ws, lambda v: lower(v) IN ({_STOP}))) AS n_stop FROM w LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words >= {_RULES["length"].low} AND n_repeat_words / n_words <= {_RULES["repeated windows"].high}
+  AND word_chars / n_words BETWEEN {_RULES["word length"].low} AND {_RULES["word length"].high} AND n_symbols / n_words <= {_RULES["symbols"].high}
+  AND (n_stop / n_words >= {_RULES["stop words"].low} OR n_words < {_RULES["stop words"].least_words}) AND n_dup_lines / n_lines <= {_RULES["repeated lines"].high} AS kept
+FROM f""",
+    "op8_setsketch_registers": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANK}+') AS ws FROM documents),
+x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g FROM x),
+s AS (SELECT DISTINCT doc_id, g FROM g WHERE i <= greatest(n - 4, 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+q AS (SELECT doc_id AS x, doc_id AS root FROM w UNION SELECT e.y, q.root FROM q JOIN e ON e.x = q.x),
+k AS (SELECT x AS doc_id, min(root) AS component_id FROM q GROUP BY 1)
+SELECT doc_id, coalesce(z.n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM k LEFT JOIN z USING (doc_id)""",
+}
