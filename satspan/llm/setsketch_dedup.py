@@ -16,7 +16,8 @@ prefix filter on their rarest shingles.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text of one to four words has one shingle, its whole sequence;
-repeated rows are copies; extra columns are ignored.
+repeated rows are copies; rows without an id are kept and link nothing; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,7 +221,7 @@ def links(docs: DataFrame) -> DataFrame:
         docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_key string, levels binary"), "setsketch"
     )
     reps = materialize(
-        rows.where("set_key is not null").groupBy("set_key")
+        rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
         .agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "levels")).alias("r"), F.count("*").alias("copies"))
         .select("set_key", "copies", "r.*"),
         "setsketch-classes",
@@ -251,7 +252,7 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    return links(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return links(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep(docs: DataFrame) -> DataFrame:

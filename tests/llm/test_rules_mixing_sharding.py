@@ -112,3 +112,15 @@ def test_sharding_is_even_and_gapless(spark, n):
     again = {(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in hilbert_sharding.plan(docs.repartition(2)).collect()}
     assert again == {(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in rows}
     assert hilbert_sharding.plan(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    from satspan.llm import license_index, secret_crf, setsketch_dedup
+
+    row = (None, prose(1, 120), None, None, None, None, None, None, None)
+    docs = documents(spark).unionByName(spark.createDataFrame([row, row], documents(spark).schema))
+    n = len(texts()) + 3
+    assert quality_rules.score(docs).count() == source_mixing.plan(docs).count() == hilbert_sharding.plan(docs).count() == n
+    assert license_index.scan(docs).count() == secret_crf.scan(docs).count() == n
+    judged = setsketch_dedup.score(docs).collect()
+    assert len(judged) == n and all(r["kept"] for r in judged if r["doc_id"] is None)
