@@ -62,14 +62,12 @@ def handover(spans: DataFrame, n_time: int, least_overlap: int = 1, different_pl
             width = F.least(u["width"], overlap)
             return F.when(fits & (width > best["width"]), F.struct(width.alias("width"), (u["hops"] + 1).alias("hops"))).otherwise(best)
 
-        best = F.aggregate(done, start, better)
-        return F.concat(
-            done,
-            F.transform(
-                F.array(best),
-                lambda b: F.struct(v["e"].alias("e"), v["s"].alias("s"), v["sat"].alias("sat"), v["p"].alias("p"), b["width"].alias("width"), b["hops"].alias("hops")),
-            ),
+        # An interval that no chain reaches is not carried on.
+        found = F.transform(
+            F.array(F.aggregate(done, start, better)),
+            lambda b: F.struct(v["e"].alias("e"), v["s"].alias("s"), v["sat"].alias("sat"), v["p"].alias("p"), b["width"].alias("width"), b["hops"].alias("hops")),
         )
+        return F.concat(done, F.filter(found, lambda x: x["width"] > 0))
 
     none = F.struct(F.lit(-1).cast("long").alias("width"), F.lit(-1).cast("long").alias("hops"))
     chains = spans.groupBy(key).agg(F.array_sort(F.collect_list("v")).alias("v")).withColumn(
