@@ -112,6 +112,30 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert latent_decontamination.find(empty(spark), bench).count() == 0
 
 
+def test_decontamination_of_copies_frequent_words_and_small_tables(spark):
+    r = random.Random(6)
+    items = [" ".join(f"q{r.randrange(4000)}" for _ in range(34)) for _ in range(3)] + [prose(50, 40)]
+    rows = [f"{prose(i, 60)} " + " ".join(f"r{r.randrange(10**6)}" for _ in range(40)) for i in range(36)]
+    copied = prose(70, 40) + " " + items[0] + " " + prose(71, 40)
+    want = {i: [0] for i in range(0, 36, 3)}
+    for i in want:
+        rows[i] = copied
+    for i in range(1, 36, 3):  # a passage in a third of different texts
+        rows[i] = " ".join(rows[i].split()[:70]) + " " + items[1] + " " + rows[i][-60:]
+        want[i] = [1]
+    rows[5] = rows[5] + " " + items[3] + " " + rows[8][-80:]  # an item of frequent words
+    want[5] = [3]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def found(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {x["doc_id"]: list(x["item_ids"]) for x in latent_decontamination.find(docs, bench).collect()}
+
+    assert found(rows) == want
+    assert found([rows[2], prose(9, 40) + " " + items[2] + " " + prose(10, 30), rows[0]]) == {1: [2], 2: [0]}
+    assert found([items[2]]) == {0: [2]}
+
+
 def test_license_places_match_brute_force(spark):
     import re
 
