@@ -100,6 +100,11 @@ def cap_half_angle_deg(altitude_km: float, mask_deg: float) -> float:
     return 90 - mask_deg - math.degrees(math.asin(RE / (RE + altitude_km) * math.cos(mask)))
 
 
+def cap_half_angle_of(radius_km: Column, mask_deg: float) -> Column:
+    """The same for a column of distances from the Earth's centre."""
+    return F.lit(90.0 - mask_deg) - F.degrees(F.asin(F.least(F.lit(1.0), F.lit(RE * math.cos(math.radians(mask_deg))) / radius_km)))
+
+
 def bisect(low: Column, high: Column, value, threshold: Column, steps: int) -> Column:
     """The crossing of ``value`` (a function of a column) by halving ``steps``
     times; null where the ends do not differ in sign."""

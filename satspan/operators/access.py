@@ -64,18 +64,21 @@ def azimuth_deg() -> Column:
 
 
 def in_view(
-    cells: DataFrame, states: DataFrame, mask_deg: float, max_altitude_km: float, tiled: bool = True
+    cells: DataFrame, states: DataFrame, mask_deg: float, max_altitude_km: float | None = None, tiled: bool = True
 ) -> DataFrame:
     """Rows (cell, satellite, step) with elevation at or above the mask.
 
     ``tiled`` joins on 5-degree tiles: each state goes to the tiles that its
     ground cap touches, each cell to its own, so only near pairs are formed;
     without it all pairs are (the form that tests compare with).  The exact
-    filter follows either way.
+    filter follows either way.  The cap is that of the state's own distance,
+    which no orbit's a(1 + e) is below; ``max_altitude_km`` bounds nothing any
+    more and stays for callers that give it.
     """
     ground = ground_vectors(cells)
     if tiled:
-        radius = orbit.cap_half_angle_deg(max_altitude_km, mask_deg) + SAFETY_DEG
+        distance = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+        radius = orbit.cap_half_angle_of(distance, mask_deg) + SAFETY_DEG
         near = states.withColumn("_tile", F.explode(tiles_near(F.col("sub_lat_deg"), F.col("sub_lon_deg"), radius)))
         near = near.withColumns({"band": F.col("_tile.band"), "place": F.col("_tile.place")}).drop("_tile")
         pairs = ground.join(near, ["band", "place"])

@@ -15,13 +15,13 @@ from satspan.sources.grid import time_steps
 
 
 def run_coverage(
-    cells: DataFrame, satellites: DataFrame, n_steps: int, step_s: float, mask_deg: float = 25.0, max_altitude_km: float = 650.0,
+    cells: DataFrame, satellites: DataFrame, n_steps: int, step_s: float, mask_deg: float = 25.0,
     ks: tuple[int, ...] = (1, 2), tiled: bool = True,
 ) -> DataFrame:
     """Availability of every cell under a constellation."""
     times = time_steps(cells.sparkSession, n_steps, step_s)
     states = satellite_states(satellites, times)
-    return coverage(cells, in_view(cells, states, mask_deg, max_altitude_km, tiled), n_steps, ks)
+    return coverage(cells, in_view(cells, states, mask_deg, tiled=tiled), n_steps, ks)
 
 
 def candidates(spark: SparkSession, sizes: list[int], planes: int, altitude_km: float, inclination_deg: float, phasing: int = 1) -> DataFrame:
@@ -38,11 +38,11 @@ def candidates(spark: SparkSession, sizes: list[int], planes: int, altitude_km:
 
 
 def sweep(
-    cells: DataFrame, sats: DataFrame, n_steps: int, step_s: float, target: float, mask_deg: float = 25.0, max_altitude_km: float = 650.0
+    cells: DataFrame, sats: DataFrame, n_steps: int, step_s: float, target: float, mask_deg: float = 25.0
 ) -> DataFrame:
     """One job over all candidates: summary rows by ``n_sats``."""
     spark = cells.sparkSession
-    access = in_view(cells, satellite_states(sats, time_steps(spark, n_steps, step_s)), mask_deg, max_altitude_km)
+    access = in_view(cells, satellite_states(sats, time_steps(spark, n_steps, step_s)), mask_deg)
     every = cells.crossJoin(F.broadcast(sats.select("n_sats").distinct()))  # as many rows as candidates
     return summary(coverage(every, access, n_steps, keys=("cell_idx", "n_sats")), "n_sats", target)
 

@@ -48,7 +48,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = satellite_states(satellites(spark, sf_dir), time_steps(spark, N_TIME, STEP_S))
-    return in_view(cells(spark, sf_dir), states, MASK, ALTITUDE)
+    return in_view(cells(spark, sf_dir), states, MASK)
 
 
 _SATS = f"""
@@ -123,7 +123,7 @@ def walker_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_COVERAGE} SELECT cell_idx, sat_sum, steps_k1, steps_k2, round(steps_k1 / {N_TIME}.0, 9) AS availability_k1, round(steps_k2 / {N_TIME}.0, 9) AS availability_k2 FROM cov")
 def coverage_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = coverage_plan.run_coverage(cells(spark, sf_dir), satellites(spark, sf_dir), N_TIME, STEP_S, MASK, ALTITUDE)
+    out = coverage_plan.run_coverage(cells(spark, sf_dir), satellites(spark, sf_dir), N_TIME, STEP_S, MASK)
     return out.select(
         "cell_idx", "sat_sum", "steps_k1", "steps_k2",
         F.round("availability_k1", 9).alias("availability_k1"), F.round("availability_k2", 9).alias("availability_k2"),
@@ -218,7 +218,7 @@ row_ AS (SELECT n_sats, round(avg(siv), 6) AS mean_sats_in_view, round(avg(CASE
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sats = coverage_plan.candidates(spark, list(SWEEP), PLANES, ALTITUDE, INCLINATION)
-    rows = coverage_plan.sweep(cells(spark, sf_dir), sats, N_TIME, STEP_S, TARGET, MASK, ALTITUDE)
+    rows = coverage_plan.sweep(cells(spark, sf_dir), sats, N_TIME, STEP_S, TARGET, MASK)
     return rows.select("n_sats", *[F.round(c, 6).alias(c) for c in rows.columns if c != "n_sats"])
 
 
@@ -242,7 +242,7 @@ def lexicographic_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_COVERAGE} SELECT floor(lat / 2.0) * 2.0 AS lat_bin, count(*) AS n_cells, round(avg(sat_sum / {N_TIME}.0), 9) AS sats_in_view_mean FROM cov GROUP BY 1")
 def latitude_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = coverage_plan.run_coverage(cells(spark, sf_dir), satellites(spark, sf_dir), N_TIME, STEP_S, MASK, ALTITUDE)
+    out = coverage_plan.run_coverage(cells(spark, sf_dir), satellites(spark, sf_dir), N_TIME, STEP_S, MASK)
     return out.groupBy(coverage.latitude_bin(F.col("lat_deg")).alias("lat_bin")).agg(
         F.count("*").alias("n_cells"), F.round(F.avg("sats_in_view_mean"), 9).alias("sats_in_view_mean")
     )
@@ -250,7 +250,7 @@ def latitude_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_COVERAGE} SELECT CAST(least(floor(steps_k1 / {N_TIME}.0 * 20), 19) AS BIGINT) AS bin, count(*) AS n_cells FROM cov GROUP BY 1")
 def availability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = coverage_plan.run_coverage(cells(spark, sf_dir), satellites(spark, sf_dir), N_TIME, STEP_S, MASK, ALTITUDE)
+    out = coverage_plan.run_coverage(cells(spark, sf_dir), satellites(spark, sf_dir), N_TIME, STEP_S, MASK)
     return out.groupBy(coverage.unit_bin(F.col("availability_k1")).alias("bin")).agg(F.count("*").alias("n_cells"))
 
 
@@ -304,7 +304,7 @@ def horizon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def terrain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     places, mask = _horizon(spark, sf_dir)
     states = satellite_states(satellites(spark, sf_dir), time_steps(spark, N_TIME, STEP_S))
-    access = in_view(places, states, MASK, ALTITUDE).withColumn("az_bin", F.least(F.floor(azimuth_deg() * 8 / 360), F.lit(7)))
+    access = in_view(places, states, MASK).withColumn("az_bin", F.least(F.floor(azimuth_deg() * 8 / 360), F.lit(7)))
     return access.join(mask, ["cell_idx", "az_bin"], "left").groupBy("cell_idx").agg(
         F.count("*").alias("n_open"),
         F.count_if(F.col("elev_deg") >= F.greatest(F.lit(MASK), F.coalesce("mask_deg", F.lit(0.0)))).alias("n_above_terrain"),

@@ -56,12 +56,12 @@ def tile(lat: Column, lon: Column) -> tuple[Column, Column]:
     return band.cast("int"), F.pmod(F.floor((lon + 180) / TILE_DEG), F.lit(around)).cast("int")
 
 
-def tiles_near(lat: Column, lon: Column, radius_deg: float) -> Column:
+def tiles_near(lat: Column, lon: Column, radius_deg: Column) -> Column:
     """ARRAY<STRUCT<band, place>> of all tiles that a cap's box touches."""
     bands, around = int(180 / TILE_DEG), int(360 / TILE_DEG)
     low = F.greatest(F.floor((lat - radius_deg + 90) / TILE_DEG), F.lit(0)).cast("int")
     high = F.least(F.floor((lat + radius_deg + 90) / TILE_DEG), F.lit(bands - 1)).cast("int")
-    ratio = F.sin(F.radians(F.lit(radius_deg))) / F.cos(F.radians(lat))
+    ratio = F.sin(F.radians(radius_deg)) / F.cos(F.radians(lat))
     half = F.when((F.abs(lat) + radius_deg >= 90) | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(ratio)))
     first = F.floor((lon - half + 180) / TILE_DEG).cast("int")
     last = F.floor((lon + half + 180) / TILE_DEG).cast("int")

@@ -54,6 +54,15 @@ def test_tiles_give_the_same_access(spark):
         assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
 
 
+def test_coverage_of_high_and_eccentric_satellites(spark):
+    cells = latlon_grid(spark, -85, 85, -180, 175, 17)
+    high = constellation.walker(spark, 40, 5, 1, 1200.0, 97.0)
+    eccentric = constellation.walker(spark, 40, 5, 1, 1500.0, 63.0).withColumn("ecc", F.lit(0.1))
+    for sats in (high, eccentric):
+        a, b = (coverage_plan.run_coverage(cells, sats, 4, 300, 10.0, tiled=t).select("cell_idx", "sat_sum") for t in (True, False))
+        assert b.agg(F.sum("sat_sum")).first()[0] > 0 and a.exceptAll(b).isEmpty()
+
+
 def test_sweep_equals_single_runs(spark):
     cells = latlon_grid(spark, 10, 30, 70, 90, 5)
     rows = coverage_plan.sweep(cells, coverage_plan.candidates(spark, [200, 400], 40, 650.0, 48.0), 10, 60, 0.99)
