@@ -10,8 +10,9 @@ element, role or class, since such furniture can differ from page to page.
 Where a page has an article (or main) element, its lines are the text.
 
 Order and neighbours do not depend on how Spark deals the rows: exact ranks
-of the keys give at most ``MOST_RANGES`` range bounds (broadcast), the pages
-move once, and neighbours are looked for within a range.
+of the (key, page_id) pairs give at most ``MOST_RANGES`` range bounds
+(broadcast) and the pages move once. A range also gets the page just before and
+the one just after it, to compare with only.
 
 Defined results: null or empty html has an empty text; null urls have no
 neighbour; very long pages are read whole; repeated rows are neighbours of each
@@ -171,7 +172,8 @@ def url_key(url: Column) -> Column:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order; each waits until the next one is known."""
+    """Pages in order; each waits until the next one is known. Those with an odd
+    ``dealt`` are there for their neighbours."""
     before = now = None
 
     def row(before, now, after):
@@ -183,12 +185,12 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared_lines", pa.int64()),
     ])
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("range", "key", "page_id", "url", "html")]
+        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("dealt", "key", "page_id", "url", "html")]
         rows, size = [], 0
         for i in range(batch.num_rows):
             r, key, page_id, url, page = (c[i].as_py() for c in cols)
-            after = (r, key.split("\u0001")[0], (page_id, url), lines_of(page or ""))
-            if now:
+            after = (r // 2, key.split("\u0001")[0], (page_id, url), lines_of(page or ""), r % 2)
+            if now and not now[4]:
                 rows.append(row(before, now, after))
                 size += rows[-1][3]
             before, now = now, after
@@ -197,30 +199,50 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-    if now:
+    if now and not now[4]:
         last = [row(before, now, None)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*last), schema)], schema=schema)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_shared_lines of every page."""
-    keys = global_rank(pages.select(url_key(F.col("url")).alias("key"), "page_id"), ["key", "page_id"], "html-keys")
+def dealt_out(pages: DataFrame) -> DataFrame:
+    """The pages with their range, in order within it, and those to compare with."""
+    least = -(1 << 63)  # where a null id stands in the order
+    own = F.coalesce(F.col("page_id").cast("long"), F.lit(least))
+    keys = global_rank(pages.select(url_key(F.col("url")).alias("key"), own.alias("id")).distinct(), ["key", "id"], "html-keys")
     n = keys.agg(F.max("n_rows")).first()[0] or 0
     every = max(RANGE_PAGES, -(-n // MOST_RANGES))
-    # At most MOST_RANGES keys; equal keys fall into one range.
-    bounds = [r["key"] for r in keys.where((F.col("rank") % every == 0) & (F.col("rank") > 0)).select("key").orderBy("rank").collect()]
-    shared = pages.sparkSession.sparkContext.broadcast(bounds)
-
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return key.map(lambda k: bisect_right(shared.value, k))
-
-    dealt = (
+    # The first pages of MOST_RANGES ranges at most, and the last ones before them.
+    ends = keys.where(((F.col("rank") % every == 0) & (F.col("rank") > 0)) | (F.col("rank") % every == every - 1))
+    firsts, lasts = [], []
+    for r in ends.select("key", "id", "rank").orderBy("rank").collect():
+        if r["rank"] % every == 0 and r["rank"]:
+            firsts.append((r["key"], r["id"]))
+        if r["rank"] % every == every - 1:
+            lasts.append((r["key"], r["id"]))
+    shared = pages.sparkSession.sparkContext.broadcast((firsts, set(firsts), set(lasts[: len(firsts)])))
+
+    @F.pandas_udf("array<int>")
+    def dealt_to(key: pd.Series, page_id: pd.Series) -> pd.Series:
+        """Twice the range, and twice a neighbouring range and one."""
+        firsts, first, last = shared.value
+
+        def of(page: tuple[str, int]) -> list[int]:
+            k = bisect_right(firsts, page)
+            return [2 * k, *([2 * k - 1] if page in first else []), *([2 * k + 3] if page in last else [])]
+
+        return pd.Series([of(page) for page in zip(key, page_id)])
+
+    return (
         pages.select("page_id", "url", "html", url_key(F.col("url")).alias("key"))
-        .withColumn("range", range_of("key"))
+        .withColumn("dealt", F.explode(dealt_to("key", own)))
+        .withColumn("range", F.floor(F.col("dealt") / 2))
         .repartition("range")
         .sortWithinPartitions("range", "key", "page_id")
     )
-    return dealt.mapInArrow(
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars and n_shared_lines of every page."""
+    return dealt_out(pages).mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long, n_shared_lines long"
     )

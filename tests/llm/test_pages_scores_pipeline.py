@@ -63,6 +63,23 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     assert a == b and all("top" not in t for t in a.values())
 
 
+def test_neighbours_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(html_differencing, "RANGE_PAGES", 2)
+    rows = [(i, f"http://h.example/index.php?id={i}", f"<div>top</div><p>{prose(i, 12)}</p>") for i in range(9)]
+    rows += [(i, f"http://h{i // 2}.example/{i}", f"<div>top {i // 2}</div><p>{prose(i, 12)}</p>") for i in range(10, 31)]
+    rows += [(i, None, f"<div>top</div><p>{prose(i, 12)}</p>") for i in range(40, 44)]
+    found = html_differencing.extract(pages(spark, rows)).collect()
+    assert sorted(r["page_id"] for r in found) == [i for i, _, _ in rows]
+    assert all(("top" in r["text"]) == (r["page_id"] >= 40 or r["page_id"] == 30) for r in found)
+
+
+def test_equal_keys_split(spark, monkeypatch):
+    monkeypatch.setattr(html_differencing, "RANGE_PAGES", 2)
+    rows = [(i, "http://h.example/index.php", f"<div>top</div><p>{prose(i, 12)}</p>") for i in range(12)]
+    dealt = html_differencing.dealt_out(pages(spark, rows))
+    assert max(r["count"] for r in dealt.groupBy("range").count().collect()) <= 4
+
+
 def test_unigram_base_and_model(spark, monkeypatch):
     monkeypatch.setattr(context_mixing, "HEAVY", 40)  # most tokens take the joined way
     rows = texts() + [prose(i, 150) for i in range(40)]
