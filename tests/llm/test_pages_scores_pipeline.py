@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from satspan.llm import context_mixing, html_differencing, warc_bundles
@@ -100,6 +101,21 @@ def test_unigram_base_and_model(spark, monkeypatch):
     assert context_mixing.score(empty(spark)).count() == 0
 
 
+def test_weights_are_carried_through_a_long_text():
+    assert context_mixing.ORDERS == (3, 4, 6)
+
+    def bits(n):
+        data, at = np.full(n, ord("a"), dtype=np.uint8), np.array([0, n])
+        rows = [np.zeros(n, dtype=np.int32)] * context_mixing.PREDICTORS
+        counts = np.ones((1, 32))
+        counts[0, context_mixing._CLASS[ord("a")]] = 9
+        tables = np.zeros((context_mixing.PREDICTORS, 1 << context_mixing.SLOT_BITS), dtype=np.int8)
+        tables[:, :32] = context_mixing.stretch(counts)
+        return context_mixing.code_lengths(data, at, rows, tables)[0]
+
+    assert bits(8192) - bits(4096) < 0.9 * bits(4096)
+
+
 def test_stages_and_run(spark, tmp_path):
     import corpus_pipeline
 
