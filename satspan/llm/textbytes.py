@@ -80,17 +80,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _KNOWN[0], _KNOWN[1]
 
 
+#: Bytes whose powers and sums are held at once.
+HASH_BLOCK = 1 << 17
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each lower-cased word (a sum of keyed powers, finalised)."""
-    if not len(start):
-        return np.zeros(0, dtype=U)
-    power, back = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U)
-    keyed = _LOWER_KEY[data]
-    keyed *= power[: len(data)]
-    np.cumsum(keyed, out=total[1:])
-    # Divided by the power of the start, so that place does not matter.
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(U))
+    """64-bit hash of each lower-cased word (a sum of keyed powers, finalised).
+
+    Words are taken in blocks of about ``HASH_BLOCK`` bytes, so that the memory
+    does not grow with the text; a longer word is a block of its own.
+    """
+    out = np.zeros(len(start), dtype=U)
+    a = 0
+    while a < len(start):
+        base = int(start[a])
+        b = max(a + 1, int(np.searchsorted(end, base + HASH_BLOCK, side="right")))
+        size = int(end[b - 1]) - base
+        power, back = _powers(size + 1)
+        total = np.zeros(size + 1, dtype=U)
+        keyed = _LOWER_KEY[data[base : base + size]]
+        keyed *= power[:size]
+        np.cumsum(keyed, out=total[1:])
+        first, last = start[a:b] - base, end[a:b] - base
+        # Divided by the power of the start, so that place does not matter.
+        out[a:b] = mix((total[last] - total[first]) * back[first] + (last - first).astype(U))
+        a = b
+    return out
 
 
 def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

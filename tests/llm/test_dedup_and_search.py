@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from satspan.llm import components, latent_decontamination, lcs, license_index, secret_crf, setsketch_dedup
 
@@ -136,6 +137,84 @@ def test_decontamination_of_copies_frequent_words_and_small_tables(spark):
     assert found([items[2]]) == {0: [2]}
 
 
+def test_search_finds_what_brute_force_finds():
+    """Every window of every text against every item, by subsequence alone."""
+    m = latent_decontamination
+    r = random.Random(8)
+    items = [prose(300 + i, 8) + " " + " ".join(f"q{r.randrange(900)}" for _ in range(24 + i % 9)) + " " + prose(400 + i, 6) for i in range(25)]
+    items[7] = "the the the of of lor " * 7
+    rows = []
+    for i in range(120):
+        own = items[i % 25].split()
+        for _ in range(r.randrange(0, len(own) // 2)):
+            k = r.randrange(len(own))
+            own[k : k + 1] = r.choice(([], ["new"], [own[k], "more"]))
+        rows.append(prose(i, r.randrange(0, 90)) + " " + " ".join(own) + " " + prose(i + 500, r.randrange(0, 90)))
+    words, first = m.words_of(pa.array(rows))
+    item_words, item_first = m.words_of(pa.array(items))
+    own = [item_words[a:b].tolist() for a, b in zip(item_first[:-1], item_first[1:])]
+    want = set()
+    starts, doc = m._segments(first, m.BLOCK)
+    for at, d in zip(starts.tolist(), doc.tolist()):
+        for k, item in enumerate(own):
+            region = words[max(first[d], at - len(item)) : min(first[d + 1], at + m.PASSAGE + m.BLOCK + len(item))].tolist()
+            if m.confirm(item, region):
+                want.add((d, k))
+    term = (words & m.U(m.TERMS - 1)).astype(np.int64)
+    df = np.zeros(m.TERMS)
+    for d in range(len(rows)):
+        df[np.unique(term[first[d] : first[d + 1]])] += 1
+    weight = np.maximum(np.log((len(rows) + 1) / (df + 1)), m.LEAST_IDF) ** m.POWER
+    start = np.random.default_rng(1).standard_normal((m.TERMS, m.DIRECTIONS)).astype(np.float32)
+    gram = np.zeros_like(start)
+    m._gram_times(words, first, m.PASSAGE, weight, start, gram)
+    m._gram_times(item_words, item_first, m.PIECE, weight, start, gram, m.BOOST)
+    vectors, _ = np.linalg.qr(gram.astype(np.float64))
+    place = np.full(m.TERMS, -1)
+    place[np.argsort(-df, kind="stable")[: m.FREQUENT]] = np.arange(m.FREQUENT)
+    basis = m.Basis(weight, (vectors * weight[:, None]).astype(np.float32), place, float((df * weight**2).sum() / df.sum()))
+    got = {(d, k) for d, k, _ in m.search(words, first, basis, m.item_vectors(list(range(25)), pa.array(items), basis))}
+    assert got <= want and len(want) > 60 and len(got) >= 0.9 * len(want)
+
+
+def test_gram_in_blocks_equals_the_product(monkeypatch):
+    m = latent_decontamination
+    monkeypatch.setattr(m, "WORDS_AT_ONCE", 100)
+    words, first = m.words_of(pa.array([prose(1, 333), "", prose(2, 20), None, prose(3, 70)]))
+    r = np.random.default_rng(2)
+    weight, block = r.random(m.TERMS), r.standard_normal((m.TERMS, 3)).astype(np.float32)
+    out = np.zeros_like(block)
+    m._gram_times(words, first, m.PASSAGE, weight, block, out)
+    starts, _ = m._segments(first, m.PASSAGE)
+    a = np.zeros((len(starts), m.TERMS))
+    row = np.searchsorted(starts, np.arange(len(words)), side="right") - 1
+    term = (words & m.U(m.TERMS - 1)).astype(np.int64)
+    np.add.at(a, (row, term), weight[term] / np.sqrt(np.bincount(row, weight[term] ** 2))[row])
+    assert np.allclose(out, a.T @ (a @ block), atol=1e-3)
+
+
+def test_decontamination_of_rows_that_share_an_id(spark):
+    r = random.Random(9)
+    item = " ".join(f"q{r.randrange(4000)}" for _ in range(40))
+    rows = [("a", prose(1, 60)), ("a", prose(2, 30) + " " + item), (None, item), (None, prose(3, 60)), ("b", prose(4, 50)), ("b", prose(4, 50)), ("c", None), ("d", "")]
+    docs = spark.createDataFrame([(t, k, "x") for k, t in rows], "text string, doc_id string, item_ids string")
+    bench = spark.createDataFrame([("i", item), ("i", prose(9, 40)), (None, rows[0][1])], "item_id string, text string")
+    found = latent_decontamination.find(docs, bench).collect()
+    assert sorted((x["doc_id"] or "", list(x["item_ids"])) for x in found) == [("", ["i"]), ("a", ["i"])]
+    kept = latent_decontamination.keep(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"] or "", x["text"] or "") for x in kept.collect()) == sorted((k or "", t or "") for k, t in rows if item not in (t or ""))
+
+
+def test_sample_is_bounded_by_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(latent_decontamination, "FIT_DOCS", 40)
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(prose(1, 30))).otherwise(F.concat_ws(" ", F.lit(prose(2, 20)), "id")).alias("text"))
+    seen = {}
+    monkeypatch.setattr(latent_decontamination, "randomised_svd", lambda sample, items, weight: seen.update(n=sample.count()) or np.zeros((latent_decontamination.TERMS, latent_decontamination.DIRECTIONS)))
+    list(latent_decontamination.searches(docs, spark.createDataFrame([(0, prose(3, 40))], "item_id long, text string")))
+    assert 10 < seen["n"] < 100
+
+
 def test_license_places_match_brute_force(spark):
     import re
 
