@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir).
 
-    Where the session names none (a local test run) a temporary folder is set.
+    Where a session on one machine names none (a test run) a temporary folder is
+    set; on a cluster that is an error, since executors would not see each
+    other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-satspan-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -29,8 +29,8 @@ def op2_logistic_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_seekable_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles = warc_bundles.write(table(spark, sf_dir, "pages"))
-    return warc_bundles.read(bundles).select(
+    pages = table(spark, sf_dir, "pages")
+    return warc_bundles.read(warc_bundles.write(pages), dict(pages.dtypes)["page_id"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset"
     )
 

@@ -6,16 +6,20 @@ WARC/1.1 records, and a footer: the seek table of the Zstandard seekable format
 a record id to (bundle, frame, offset in the frame, length), so one record is
 read by one seek and one frame.
 
-Bundles are rows (bundle, content) of a table in a folder that every executor
-reaches, written by Spark's committed writer, so that a lost task leaves no half
-archive; ``content`` is the archive file byte for byte.
+Bundles are rows (bundle, content, records) of a table in a folder that every
+executor reaches, written by Spark's committed writer, so that a lost task leaves
+no half archive; ``content`` is the archive file byte for byte and ``records`` the
+index of its records, made by the same task.
 
 Equal payloads are stored once: the record of the largest id is ``response``,
 the others are ``revisit`` records that name it.
 
 Defined results: null html has an empty payload; payloads below ``least_bytes``
-are never shared; an empty table gives no bundle; repeated ids are records of
-their own, the index then lists each.
+are never shared; every row is a record of its own, also where ids repeat: rows
+of one id are told apart by their payload, and rows that have both the largest id
+and its payload are all responses; a null id is never named, and equal payloads
+without any id are all responses; ids may be of any type; an empty table gives no
+bundle; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ import hashlib
 import io
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from satspan.llm.common import materialize
@@ -40,9 +46,12 @@ LEVEL = 3
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 
-BUNDLE = "bundle string, content binary, n_records long"
+#: Revisit marks that are broadcast at most, of about 100 bytes each.
+BROADCAST_MARKS = 200_000
+
+BUNDLE = "bundle string, content binary, n_records long, records array<struct<id string, frame int, frame_offset long, record_bytes long>>"
 RECORD = (
-    "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long,"
+    "id string, url string, payload_bytes long, payload_digest string, record_type string, refers string,"
     " bundle string, frame int, frame_offset long, record_bytes long"
 )
 
@@ -51,13 +60,21 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode("ascii")
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else '=' + quote(page_id)}>"
+
+
+def _id_of(urn: str) -> str | None:
+    return unquote(urn[11:-1]) if urn[10:11] == "=" else None
+
+
+def encode_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record; a revisit holds headers only."""
     body = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         "WARC-Date: 2026-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -67,7 +84,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{refers_to}>",
+            f"WARC-Refers-To: {_urn(refers_to)}",
         ]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -126,13 +143,14 @@ class _Writer:
 
     def __init__(self) -> None:
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
-        self.out, self.sizes, self.frame, self.records, self.key = io.BytesIO(), [], [], 0, hashlib.sha1()
+        self.out, self.sizes, self.frame, self.key = io.BytesIO(), [], [], hashlib.sha1()
         self.frame_bytes = 0
+        self.places: list[dict] = []
 
-    def add(self, record: bytes) -> None:
+    def add(self, page_id: str | None, record: bytes) -> None:
+        self.places.append({"id": page_id, "frame": len(self.sizes), "frame_offset": self.frame_bytes, "record_bytes": len(record)})
         self.frame.append(record)
         self.frame_bytes += len(record)
-        self.records += 1
         if self.frame_bytes >= FRAME_BYTES:
             self.end_frame()
 
@@ -148,62 +166,112 @@ class _Writer:
     def full(self) -> bool:
         return self.out.tell() >= BUNDLE_BYTES
 
-    def end(self) -> tuple[str, bytes, int]:
+    def end(self) -> pa.RecordBatch:
         self.end_frame()
-        return self.key.hexdigest(), self.out.getvalue() + seek_table(self.sizes), self.records
+        content = self.out.getvalue() + seek_table(self.sizes)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.key.hexdigest()]), pa.array([content], pa.binary()), pa.array([len(self.places)], pa.int64()), pa.array([self.places], _PLACES)],
+            ["bundle", "content", "n_records", "records"],
+        )
+
+
+_PLACES = pa.list_(pa.struct([("id", pa.string()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("record_bytes", pa.int64())]))
 
 
-def _bundled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     writer = _Writer()
-    for f in frames:
-        for page_id, url, html, refers_to in zip(f["page_id"], f["url"], f["html"], f["refers_to"]):
+    for batch in batches:
+        cols = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "url", "html", "refers")]
+        for i in range(batch.num_rows):
+            page_id, url, html, refers = (c[i].as_py() for c in cols)
             payload = (html or "").encode()
-            writer.add(encode_record(
-                None if pd.isna(page_id) else int(page_id), url, payload, base32_sha1(payload),
-                None if pd.isna(refers_to) else int(refers_to),
-            ))
+            writer.add(page_id, encode_record(page_id, url, payload, base32_sha1(payload), refers))
             if writer.full():
-                yield pd.DataFrame([writer.end()], columns=["bundle", "content", "n_records"])
+                yield writer.end()
                 writer = _Writer()
-    if writer.records:
-        yield pd.DataFrame([writer.end()], columns=["bundle", "content", "n_records"])
-
-
-def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for bundle, content in zip(f["bundle"], f["content"]):
-            for k in range(len(frame_places(content))):
-                rows = []
-                for at, length, head, body in decode_records(read_frame(content, k)):
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response" and base32_sha1(body) != digest:
-                        raise ValueError(f"payload digest differs in bundle {bundle}, frame {k}")
-                    number = head["WARC-Record-ID"][10:-1]
-                    refers = head.get("WARC-Refers-To")
-                    rows.append((
-                        int(number) if number else None, head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), digest,
-                        head["WARC-Type"], int(refers[10:-1]) if refers else None, bundle, k, at, length,
-                    ))
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    if writer.places:
+        yield writer.end()
+
+
+def _read(bundle: str, content: bytes, places: list[dict]) -> pa.RecordBatch:
+    """The records at some places of a bundle; each frame is unpacked once."""
+    rows, frame, raw = [], None, b""
+    for place in places:
+        k, at, length = place["frame"], place["frame_offset"], place["record_bytes"]
+        if k != frame:
+            frame, raw = k, read_frame(content, k)
+        _, size, head, body = next(decode_records(raw[at : at + length]))
+        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+        own = _id_of(head["WARC-Record-ID"])
+        if size != length or own != place["id"]:
+            raise ValueError(f"the index is wrong in bundle {bundle}, frame {k}, offset {at}")
+        if head["WARC-Type"] == "response" and base32_sha1(body) != digest:
+            raise ValueError(f"payload digest differs in bundle {bundle}, frame {k}, offset {at}")
+        refers = head.get("WARC-Refers-To")
+        rows.append((own, head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), digest, head["WARC-Type"], refers and _id_of(refers), bundle, k, at, length))
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in RECORD.split(", ")])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bundle, content, places = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("bundle", "content", "records"))
+            for _, group in groupby(places, key=lambda x: x["frame"]):
+                yield _read(bundle, content, list(group))
+
+
+def _digest() -> Column:
+    return F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages that repeat another's payload."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.where(F.octet_length(payload) >= least_bytes).select("page_id", F.sha1(payload).alias("digest"))
-    keyed = materialize(keyed, "warc-digests")
-    shared = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(shared, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    """(page_id, digest, refers_to) of the pages that repeat another's payload."""
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    keyed = materialize(pages.where(size >= least_bytes).select("page_id", _digest().alias("digest")), "warc-digests")
+    shared = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    marked = keyed.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return materialize(marked.select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
 
 
 def write(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write all pages to bundles; returns the written table of bundles."""
+    """Write all pages to bundles; returns the written table of bundles.
+
+    Pages meet their marks by id and payload digest. The marks are broadcast if
+    counted few, and the html is then not shuffled.
+    """
     pages = pages.select("page_id", "url", "html")
-    marked = pages.join(revisits(pages, least_bytes), "page_id", "left").select("page_id", "url", "html", "refers_to")
-    return materialize(marked.mapInPandas(_bundled, BUNDLE), "warc-bundles")
+    marks = revisits(pages, least_bytes)
+    few = marks.count() <= BROADCAST_MARKS
+    marks = marks.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
+    marked = pages.withColumn("digest", _digest()).join(
+        F.broadcast(marks) if few else marks, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left"
+    )
+    rows = marked.select(F.col("page_id").cast("string").alias("id"), "url", "html", F.col("refers_to").cast("string").alias("refers"))
+    return materialize(rows.mapInArrow(_bundled, BUNDLE), "warc-bundles")
+
+
+def index(bundles: DataFrame) -> DataFrame:
+    """id, bundle, frame, frame_offset and record_bytes of every record, as
+    written with the bundles; their content is not read."""
+    return bundles.select("bundle", F.explode("records").alias("r")).select("r.id", "bundle", "r.frame", "r.frame_offset", "r.record_bytes")
+
+
+def _typed(records: DataFrame, kind: str) -> DataFrame:
+    return records.select(F.col("id").cast(kind).alias("page_id"), "*", F.col("refers").cast(kind).alias("refers_to")).drop("id", "refers")
+
+
+def read(bundles: DataFrame, kind: str = "long") -> DataFrame:
+    """One row per record of the bundles, read at its place in the index;
+    ``kind`` is the type of the page ids."""
+    return _typed(bundles.select("bundle", "content", "records").mapInArrow(_records, RECORD), kind)
 
 
-def read(bundles: DataFrame) -> DataFrame:
-    """One row per record of the bundles, with its place: the record index."""
-    return bundles.mapInPandas(_records, RECORD)
+def seek(bundles: DataFrame, ids: DataFrame, kind: str = "long") -> DataFrame:
+    """The records of the given ``ids(page_id)``: only the bundles and frames that
+    the index names are unpacked. A null id finds the records without one."""
+    wanted = ids.select(F.col("page_id").cast("string").alias("_id")).distinct()
+    places = index(bundles).join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    place = F.struct("frame", "frame_offset", "id", "record_bytes")
+    named = places.groupBy("bundle").agg(F.array_sort(F.collect_list(place)).alias("records"))  # a bundle's records at most
+    return _typed(bundles.select("bundle", "content").join(named, "bundle").mapInArrow(_records, RECORD), kind)

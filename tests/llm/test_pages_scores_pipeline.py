@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from satspan.llm import context_mixing, html_differencing, warc_bundles
 
@@ -42,6 +43,26 @@ def test_warc_round_trip(spark):
     assert warc_bundles.read(warc_bundles.write(source.limit(0))).count() == 0
 
 
+def test_warc_of_repeated_and_missing_ids(spark):
+    """Against a scan of all rows; no payload may be lost."""
+    rows = [(1, "u", "AAA"), (1, "u", "BBB"), (2, "v", "AAA"), (3, "w", "BBB"), (3, "w", "BBB"), (3, "w", "CCC"), (None, "n", "CCC"), (None, "n", "DDD"), (None, None, "DDD"), (9, "z", "")]
+    source = pages(spark, rows)
+    bundles = warc_bundles.write(source)
+    found = warc_bundles.read(bundles).collect()
+    want = Counter()
+    for i, _, h in rows:
+        top = max((j for j, _, g in rows if g == h and j is not None), default=None)
+        want[(i, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), *(("response", None) if top in (i, None) else ("revisit", top)))] += 1
+    assert Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found) == want
+    stored = {r["payload_digest"] for r in found if r["record_type"] == "response"}
+    assert stored == {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for _, _, h in rows}
+    assert warc_bundles.index(bundles).count() == len(rows)
+    some = warc_bundles.seek(bundles, spark.createDataFrame([(3,), (None,), (77,)], "page_id long")).collect()
+    assert Counter((r["page_id"], r["payload_digest"]) for r in some) == Counter((r["page_id"], r["payload_digest"]) for r in found if r["page_id"] in (3, None))
+    named = warc_bundles.read(warc_bundles.write(source.withColumn("page_id", F.concat(F.lit("é 1/"), "page_id"))), "string").collect()
+    assert {r["page_id"] for r in named} == {None, "é 1/1", "é 1/2", "é 1/3", "é 1/9"} and len(named) == len(rows)
+
+
 def test_article_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Menu</li></ul></nav><div class='ad'>Buy</div>"
