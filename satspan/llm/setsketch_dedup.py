@@ -16,8 +16,11 @@ prefix filter on their rarest shingles.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text of one to four words has one shingle, its whole sequence;
-repeated rows are copies; rows without an id are kept and link nothing; extra
-columns are ignored.
+repeated rows are copies; ids may be of any type, and an id that occurs with
+different texts names a row of each: ``score`` judges each by its own text,
+``keep`` leaves one row of each group and thus no text without a near copy; rows
+without an id are kept and link nothing; an empty table gives an empty result;
+extra columns are ignored by ``score`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satspan.llm.common import filter_by_ids, materialize
+from satspan.llm.common import BROADCAST_IDS, filter_by_ids, materialize
 from satspan.llm.components import components
 from satspan.llm.textbytes import U, mix, pieces, shingle_sets
 
@@ -44,6 +47,8 @@ SIMILARITY = 0.75
 #: Candidates below this estimate are dropped; it lies 5.5 standard errors
 #: (0.027 at 0.75) under the threshold.
 LEAST_ESTIMATE = 0.60
+#: Bytes of text that are worked on at once.
+PIECE = 1_000_000
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -101,37 +106,37 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
+def _set_key(s: np.ndarray) -> str | None:
+    """Sums of two finalised hashes name the set."""
+    return f"{int(mix(s).sum()):016x}{int(mix(s ^ U(0x5851F42D4C957F2D)).sum()):016x}" if len(s) else None
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE):
             sets = shingle_sets(part.column(1))
             levels = registers(sets)
-            # Sums of two finalised hashes name the set.
-            keys = [
-                f"{int(mix(s).sum()):016x}{int(mix(s ^ U(0x5851F42D4C957F2D)).sum()):016x}" if len(s) else None
-                for s in sets
-            ]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()),
+                [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.string()),
                  pa.array([x.tobytes() for x in levels], pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "levels"],
+                ["doc_id", "text_key", "n_shingles", "set_key", "levels"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text"):
-            sets = [s.tobytes() for s in shingle_sets(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "items"])
+        for part in pieces(batch, "text", PIECE):
+            sets = [s for s in shingle_sets(part.column(0)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "items"])
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        component = batch.schema.get_field_index("component")
-        for part in pieces(batch, "text", 1_500_000):
-            sets = shingle_sets(part.column(1))
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(x, np.int64) for x in part.column(0).to_pylist()]
             n = np.array([len(s) for s in sets])
-            cols = [np.concatenate(sets).view(np.int64), *(np.repeat(x, n) for x in (part.column(0).to_numpy(), n, part.column(component).to_numpy()))]
+            cols = [np.concatenate(sets), *(np.repeat(x, n) for x in (part.column(1).to_numpy(), n, part.column(2).to_numpy()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "id", "n", "component"])
 
 
@@ -165,22 +170,32 @@ def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.loc[100 * both >= 75 * (sizes - both), ["a", "b"]]
 
 
+def _sets_of(docs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """``classes(set_key, doc_id, ...)`` with the items of each class, found again
+    in the text of one of its documents."""
+    classes = materialize(classes, f"{label}-wanted")
+    wanted = filter_by_ids(docs.select("doc_id", "text"), classes.select("doc_id").distinct(), "left_semi").select("text")
+    sets = wanted.mapInArrow(_sets, "set_key string, items binary")
+    few = classes.count() <= BROADCAST_IDS // 4
+    held = sets.join(F.broadcast(classes) if few else classes, "set_key")  # an id may have other texts too
+    return materialize(held.dropDuplicates(["set_key"]), label)
+
+
 def _checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("levels").alias(f"levels_{c}"))
     likely = materialize(
         pairs.join(one("a"), "a").join(one("b"), "b").mapInPandas(_likely, "a long, b long"), f"{label}-likely"
     )
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    wanted = filter_by_ids(docs, ids, "left_semi").select("doc_id", "text")
-    sets = materialize(wanted.mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), f"{label}-sets")
+    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    sets = _sets_of(docs, reps.join(ids, "id", "left_semi").select("set_key", "doc_id", "id"), f"{label}-sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
     return materialize(
         likely.join(side("b"), "b").join(side("a"), "a").mapInPandas(_confirmed, "a long, b long"), f"{label}-links"
     )
 
 
-def _rare_pairs(docs: DataFrame) -> DataFrame:
+def _rare_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a shingle among each
     one's rarest ``n - ceil(0.75 n) + 1``.
 
@@ -188,14 +203,15 @@ def _rare_pairs(docs: DataFrame) -> DataFrame:
     these, so no link is lost, and passages that many texts hold come last in
     the order and are not paired on.
     """
-    rows = docs.dropDuplicates(["doc_id"]).mapInArrow(_items, "item long, id long, n long, component long")
-    everywhere = Window.partitionBy("item")
-    rare_first = Window.partitionBy("id").orderBy("copies", "item")
-    shared = rows.withColumn("copies", F.count("*").over(everywhere)).where("copies > 1")
+    sets = _sets_of(docs, open_, "setsketch-open").select("items", "id", "component")
+    rows = materialize(sets.mapInArrow(_items, "item long, id long, n long, component long"), "setsketch-items")
+    # Counted in each task first, so that a common shingle is few rows.
+    copies = rows.groupBy("item").agg(F.count("*").alias("copies")).where("copies > 1")
+    shared = rows.join(copies, "item")
     # Items of one text only come first in its order; they are n - held.
-    held = F.count("*").over(Window.partitionBy("id"))
+    own = Window.partitionBy("id")
     prefix = (
-        shared.withColumn("place", F.col("n") - held + F.row_number().over(rare_first))
+        shared.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("copies", "item")))
         .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 75 / 100) + 1)
         .select("item", "id", "n", "component", (F.col("n") - F.col("place")).alias("after"))
     )
@@ -214,18 +230,24 @@ def _rare_pairs(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id with an equal set, null
-    for an empty set) and component_id."""
+    """Per row: doc_id, text_key (a hash of the text), n_shingles, class_id (least
+    id with an equal set), component_id (least id reachable; the row's own for an
+    empty set) and component (a number, null for rows that link with nothing)."""
     docs = docs.select("doc_id", "text")
+    kind = dict(docs.dtypes)["doc_id"]
     rows = materialize(
-        docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_key string, levels binary"), "setsketch"
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+            _sketched, f"doc_id {kind}, text_key long, n_shingles long, set_key string, levels binary"
+        ),
+        "setsketch",
     )
-    reps = materialize(
+    # A class is all documents with equal sets; the least id stands for it.
+    reps = (
         rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
-        .agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "levels")).alias("r"), F.count("*").alias("copies"))
-        .select("set_key", "copies", "r.*"),
-        "setsketch-classes",
+        .agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "levels")).alias("r"))
+        .select("set_key", "r.*", F.monotonically_increasing_id().alias("id"))
     )
+    reps = materialize(reps, "setsketch-classes")
     bands = reps.select("id", "n", "levels").mapInPandas(_banded, "band long, id long, n long")
     shared = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     crowded = materialize(bands.join(shared.select("band", "leader"), "band"), "setsketch-buckets")
@@ -236,33 +258,43 @@ def links(docs: DataFrame) -> DataFrame:
     # components, by the rare shingles that a linked pair must share.
     place = crowded.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = place.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_ = place.join(mixed.select("band"), "band", "left_semi").select(
-        F.col("id").alias("doc_id"), "component"
-    ).distinct()
-    across = _rare_pairs(filter_by_ids(docs, open_, "inner"))
+    open_ = place.join(mixed.select("band"), "band", "left_semi").select("id", "component").distinct()
+    across = _rare_pairs(docs, reps.select("set_key", "doc_id", "id").join(open_, "id"))
     more = _checked(docs, reps, across, "setsketch-across")
     joined = components(found.union(more))
-    classes = reps.select("set_key", F.col("id").alias("class_id")).join(
-        joined.withColumnRenamed("id", "class_id"), "class_id", "left"
-    ).withColumn("component_id", F.coalesce("component", "class_id")).drop("component")
-    many = rows.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    return many.select(
-        "doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    classes = reps.select("set_key", F.col("doc_id").alias("class_id"), "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    classes = classes.join(least, "component").select("set_key", "class_id", "component_id", "component")
+    known = F.when(F.col("doc_id").isNotNull(), F.col("set_key"))
+    many = rows.select("doc_id", "text_key", "n_shingles", known.alias("set_key")).join(classes, "set_key", "left")
+    return many.select("doc_id", "text_key", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def score(docs: DataFrame) -> DataFrame:
-    return links(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    judged = links(docs).select("doc_id", "n_shingles", "class_id", "component_id")
+    return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; of rows with one
-    id one stays."""
-    judged = score(docs)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    left = filter_by_ids(docs, gone, "left_anti")
-    again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "setsketch-again")
-    if again.isEmpty():
-        return left
-    once = filter_by_ids(left, again, "left_anti")
-    return once.unionByName(filter_by_ids(left, again, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each component, with all its columns: that of the least id, and
+    of the rows with this id one."""
+    judged = materialize(links(docs).where("component is not null").select("doc_id", "text_key", "component"), "setsketch-judged")
+    row = F.struct("doc_id", "text_key")
+    stays = judged.groupBy("component").agg(F.min(row).alias("s"))
+    gone = judged.join(stays, "component").where(row != F.col("s")).select("doc_id", "text_key").distinct()
+    again = judged.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    left = _by_text(keyed, gone, "left_anti")
+    again = materialize(again, "setsketch-again")
+    if not again.isEmpty():
+        once = _by_text(left, again, "left_anti")
+        left = once.unionByName(_by_text(left, again, "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return left.drop("_text_key")
+
+
+def _by_text(keyed: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows whose id and text are, or are not, among ``rows``, which is broadcast
+    if counted few."""
+    rows = materialize(rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "setsketch-rows")
+    few = rows.count() <= BROADCAST_IDS // 2
+    return keyed.join(F.broadcast(rows) if few else rows, (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), how)

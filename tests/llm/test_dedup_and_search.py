@@ -60,6 +60,28 @@ def test_near_duplicates_match_brute_force(spark):
     assert setsketch_dedup.score(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_string_ids(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [("1", a), ("1", b), ("2", c), ("2", c), ("3", a), ("1", a.upper()), ("4", near), (None, a), (None, a), ("5", None), ("5", "  "), ("5", None), ("0", b + " more")]
+    docs = spark.createDataFrame([(t, k, i) for i, (k, t) in enumerate(rows)], "text string, doc_id string, id int")
+    want, sizes = classes([t for _, t in rows])
+    sets = [shingles(t) for _, t in rows]
+    named = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None and sets[i]:
+            named[want[i]] = min(k, named.get(want[i], k))
+    found = setsketch_dedup.score(docs).collect()
+    expect = sorted((k or "", sizes[i], named[want[i]] if k is not None and sets[i] else k or "") for i, (k, _) in enumerate(rows))
+    assert sorted((r["doc_id"] or "", r["n_shingles"], r["component_id"] or "") for r in found) == expect
+    kept = setsketch_dedup.keep(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] or "" for r in got) == ["", "", "0", "1", "2", "5", "5", "5"]
+    assert {t for _, t in rows if t is None or not t.strip()} <= {r["text"] for r in got}
+    assert all(any(shingles(r["text"]) and want[i] == want[r["id"]] for r in got) for i, s in enumerate(sets) if s)
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(0)
     a, b = np.unique(r.integers(0, 2**63, 900, dtype=np.uint64)), np.unique(r.integers(0, 2**63, 100, dtype=np.uint64))
