@@ -1,7 +1,10 @@
+import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from satspan.llm import components, latent_decontamination, lcs, license_index, secret_crf, setsketch_dedup
@@ -238,8 +241,6 @@ def test_sample_is_bounded_by_distinct_texts(spark, monkeypatch):
 
 
 def test_license_places_match_brute_force(spark):
-    import re
-
     word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
     rows = texts() + [
         "Released under the MIT License.", "MIT\n license, MIT-License apache LICENSE", "mit the license", "general public license version 3",
@@ -259,20 +260,77 @@ def test_license_places_match_brute_force(spark):
     assert found[n + 2]["labels"] == "" and license_index.scan(empty(spark)).count() == 0
 
 
-def test_secrets(spark):
+@pytest.fixture(scope="module")
+def field(spark):
+    return secret_crf.fit(documents(spark, texts() + [prose(i, 200) for i in range(60)]))
+
+
+def spans_by_brute_force(text):
+    """Base spans by the contract, and their digest."""
+    text, found = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        found += [(m.start(), 0, m.end())] if len(m.group(2)) >= 8 else []
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+    return found, joined
+
+
+def test_secrets(spark, field):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = texts() + [
         f'token = "{"0f" * 20}" and {key}', "password: short", "é api_key='abcd1234efgh' tokEN:zzzzzzzzz", "AKIA12", "secret = token: abcdefghijk",
-        "deploy with ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8" + " today",
+        "deploy with ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8" + " today", "SECRET=" + "x" * 60_000 + " " + prose(4, 9000), "apİkey: abcdefghij toKen=12345678",
     ]
-    found = {r["doc_id"]: r for r in secret_crf.scan(documents(spark, rows)).collect()}
+    found = {r["doc_id"]: r for r in secret_crf.scan(documents(spark, rows), field).collect()}
+    for i, t in enumerate(rows):
+        spans, joined = spans_by_brute_force(t)
+        assert [found[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert found[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [x for x in found[i]["spans"].split(",") if x and not x.startswith("crf")] == [x for x in joined.split(",") if x]
     n = len(texts())
-    assert (found[n]["n_assign"], found[n]["n_access"], found[n]["n_hex"]) == (1, 1, 1)
-    assert found[n]["spans"].startswith("assign:0:49,hex:9:49,access:55:75")
-    assert [found[n + k]["n_assign"] for k in range(1, 5)] == [0, 2, 0, 0]
-    assert found[n + 2]["spans"].split(",")[0] == "assign:2:23"
-    assert "crf:" in found[n + 5]["spans"]
-    assert all(found[i]["spans"] == "" for i in range(n)) and secret_crf.scan(empty(spark)).count() == 0
+    assert found[n + 5]["spans"] == "crf:12:52" and all(found[i]["spans"] == "" for i in range(n))
+    assert secret_crf.scan(empty(spark), field).count() == 0
+    named = secret_crf.scan(spark.createDataFrame([("a", rows[n], 1), ("a", None, 2), (None, rows[n + 3], 3)], "doc_id string, text string, spans int"), field)
+    assert sorted((r["doc_id"] or "", r["n_hex"]) for r in named.collect()) == [("", 0), ("a", 0), ("a", 1)]
+
+
+def test_field_on_held_out_lines(field):
+    """Lines of another seed, and formats that the training has not seen."""
+    found = wanted = right = wrong = 0
+    lines = list(secret_crf._made_up(3000, seed=99))
+    r = random.Random(4)
+    some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    lines += [(f"use {p}{some(k)} here", [(4, 4 + len(p) + k)]) for p, k in (("AIza", 35), ("SG.", 40), ("npm_", 36), ("", 44)) for _ in range(50)]
+    for line, spans in lines:
+        data = np.frombuffer(line.encode(), np.uint8)
+        got = secret_crf.field_spans(field, data, np.array([0, len(data)])).get(0, [])
+        wanted += len(spans)
+        found += len(got)
+        right += sum(any(a < y and b > x and min(b, y) - max(a, x) >= 0.8 * (y - x) for a, b in got) for x, y in spans)
+        wrong += sum(not any(a < y and b > x for x, y in spans) for a, b in got)
+    assert right >= 0.9 * wanted and wrong <= 0.05 * found
+    data, at = secret_crf.text_bytes(pa.array([prose(i, 300) for i in range(200, 230)]))
+    assert secret_crf.field_spans(field, data, at) == {}
+
+
+def test_decoding_equals_the_full_chain(field):
+    lines = [x for x, _ in secret_crf._made_up(60, seed=5)] + ["é key=" + "Zz9Q" * 9 + " " + "9fQ2kLm0" * 4 + "\n\n" + prose(1, 30), "", "a"]
+    data, at = secret_crf.text_bytes(pa.array([" ".join(lines[i : i + 7]) for i in range(0, len(lines), 7)]))
+    t = secret_crf.tokens_of(data, at)
+    got = set(field.decode(t))
+    s = field.scores(t.features, t.begins, t.goes_on)
+    want = set()
+    for d in range(len(at) - 1):
+        mine = np.flatnonzero(t.doc == d)
+        tags = field.viterbi(s[mine]) if len(mine) else []
+        for i, tag in enumerate(tags):
+            if tag == 1:
+                k = i
+                while k + 1 < len(tags) and tags[k + 1] == 2:
+                    k += 1
+                want.add((int(mine[i]), int(mine[k])))
+    assert got == want and len(want) > 20
 
 
 def test_viterbi_is_the_best_path():
@@ -282,7 +340,7 @@ def test_viterbi_is_the_best_path():
     field = secret_crf.Field(transition=r.normal(size=(3, 3)))
     for n in range(1, 6):
         s = r.normal(size=(n, 3))
-        value = lambda p: sum(s[i, t] for i, t in enumerate(p)) + sum(field.transition[a, b] for a, b in zip(p, p[1:]))  # noqa: E731,B023
+        value = lambda p: sum(s[i, t] for i, t in enumerate(p)) + sum(field.transition[a, b] for a, b in zip((0, *p), (*p, 0)))  # noqa: E731,B023
         assert tuple(field.viterbi(s)) == max(product(range(3), repeat=n), key=value)
 
 
