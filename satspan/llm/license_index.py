@@ -1,17 +1,21 @@
 """License scan with a positional index of rare template words.
 
-The templates are short standard licence notices.  Their words form an index
-word -> (template, position).  The inverse document frequency of every index
-word comes from all documents.  For each text the occurrences of its
-highest-IDF index words vote for (template, text position - template position);
-the best alignments are checked word by word, and a template counts only if
-its mandatory key phrases stand in the aligned stretch.
+The templates are short standard licence notices.  The inverse document frequency
+of each of their words comes from all documents.  The index has, for each word, its
+postings (template, position) in those templates of whose rarest words it is one:
+a template is posted under as many of its rarest words that no text in which
+``LEAST_SCORE`` of its words stand in place can be without one of them.  A text
+looks up its own words in the index, highest IDF first; each posting names an
+alignment (template, text position - template position), votes within ``SLACK``
+places are added up, and alignments with enough votes are checked word by word.
+A template counts only if its mandatory key phrases stand in the aligned stretch.
+The work follows the postings found, not the number of templates.
 
 Beside this the fixed base phrases are located at every place.
 
 Defined results: null and empty texts have no words and no labels; very long
-texts are scanned whole; repeated rows give equal results; an empty table gives
-an empty result; extra columns are ignored.
+texts are scanned whole; repeated rows give equal results; ids may be null and of
+any type; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,59 +97,70 @@ TEMPLATES = (
     Template("cc-by-4.0-notice", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
 )
 
-#: Highest-IDF index words of a text that vote, votes that an alignment needs
-#: as a share of them, and the share of template words that must stand in place.
-RARE_WORDS = 12
+#: The share of template words that must stand in place.
 LEAST_SCORE = 0.7
+#: Bytes of text that are worked on at once.
+PIECE = 1_000_000
 #: A shift of the words by this many places still counts as in place.
 SLACK = 2
 
 
 class Index:
-    """The templates' words with their positions."""
+    """Postings of the templates' rarest words: word -> [(template, position)].
 
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES) -> None:
-        self.templates = templates
+    Of a template's n places, as many are posted (rarest words first, all places
+    of a word) as leave fewer than ``LEAST_SCORE * n`` others, so every match has
+    posted places; ``least`` says how many it has at least.
+    """
+
+    def __init__(self, templates: tuple[Template, ...], idf: dict[str, float]) -> None:
+        self.templates, self.idf = templates, idf
         self.words = [t.text.split() for t in templates]
         self.postings: dict[str, list[tuple[int, int]]] = {}
+        self.least: list[int] = []
         for k, words in enumerate(self.words):
-            for at, w in enumerate(words):
-                self.postings.setdefault(w, []).append((k, at))
-
-    def match(self, words: list[str], places: dict[str, list[int]], idf: dict[str, float]) -> list[tuple[str, float, int, int]]:
-        """(label, score, first, last word) of the templates found in a text;
-        ``places`` has the positions of the index words in it."""
+            missing = len(words) - math.ceil(LEAST_SCORE * len(words) - 1e-9)
+            posted = 0
+            for w in sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w)):
+                if posted > 2 * missing:
+                    break
+                places = [at for at, x in enumerate(words) if x == w]
+                self.postings.setdefault(w, []).extend((k, at) for at in places)
+                posted += len(places)
+            self.least.append(max(1, posted - missing))
+
+    def candidates(self, places: dict[str, list[int]]) -> list[tuple[int, int]]:
+        """Alignments (template, shift) with enough votes; ``places`` has the
+        positions of index words in a text."""
+        votes: dict[tuple[int, int], int] = {}
+        for w in sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w)):
+            for k, at in self.postings[w]:
+                for shift in {p - at + d for p in places[w] for d in range(-SLACK, SLACK + 1)}:
+                    votes[k, shift] = votes.get((k, shift), 0) + 1
+        return sorted(x for x, n in votes.items() if n >= self.least[x[0]])
+
+    def match(self, words: list[str], places: dict[str, list[int]]) -> list[tuple[str, float, int, int]]:
+        """(label, score, first, last word) of the templates found in a text."""
         best: dict[int, tuple[float, int]] = {}
-        for k, template in enumerate(self.words):
-            own = Counter(w for w in template if w in places)
-            rare = sorted(own, key=lambda w: (-idf.get(w, 0.0), w))[:RARE_WORDS]
-            if not rare:
-                continue
-            votes: Counter[int] = Counter()
-            for w in rare:
-                for t, at in self.postings[w]:
-                    if t == k:
-                        for p in places[w]:
-                            votes[p - at] += 1
-            top = max(votes.values())
-            for shift in sorted(s for s, v in votes.items() if v == top or v >= LEAST_SCORE * len(rare)):
-                hit = sum(
-                    any(0 <= shift + at + d < len(words) and words[shift + at + d] == w for d in range(-SLACK, SLACK + 1))
-                    for at, w in enumerate(template)
-                )
-                score = hit / len(template)
-                if score >= LEAST_SCORE and (k not in best or score > best[k][0]) and self._keys(k, words, shift):
-                    best[k] = (score, shift)
+        for k, shift in self.candidates(places):
+            score = in_place(self.words[k], words, shift) / len(self.words[k])
+            if score >= LEAST_SCORE and (k not in best or score > best[k][0]) and self._keys(k, words, shift):
+                best[k] = (score, shift)
         return [
             (self.templates[k].label, score, max(0, shift), min(len(words), shift + len(self.words[k])) - 1)
             for k, (score, shift) in sorted(best.items())
         ]
 
     def _keys(self, k: int, words: list[str], shift: int) -> bool:
-        stretch = " " + " ".join(words[max(0, shift - SLACK) : shift + len(self.words[k]) + SLACK]) + " "
+        stretch = " " + " ".join(words[max(0, shift - SLACK) : max(0, shift + len(self.words[k]) + SLACK)]) + " "
         return all(f" {key} " in stretch for key in self.templates[k].keys)
 
 
+def in_place(template: list[str], words: list[str], shift: int) -> int:
+    """Words of the template that stand at their place, or near it."""
+    return sum(w in words[max(0, shift + at - SLACK) : max(0, shift + at + SLACK + 1)] for at, w in enumerate(template))
+
+
 def _spotted(part: pa.RecordBatch, wanted: dict[bytes, str]) -> Iterator[tuple[int, int, dict[str, list[int]], object]]:
     """Per text: its number, word count and the positions of wanted words.
 
@@ -195,7 +210,7 @@ def document_frequency(docs: DataFrame, words: list[str]) -> tuple[int, dict[str
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found = 0, Counter()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 for _, _, places, _ in _spotted(part, wanted):
                     n += 1
                     found.update(places.keys())
@@ -208,21 +223,21 @@ def document_frequency(docs: DataFrame, words: list[str]) -> tuple[int, dict[str
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per row the word count, base places and labels, and the templates found."""
-    index = Index(templates)
+    known = sorted({w for t in templates for w in t.text.split()})
+    n, found = document_frequency(docs, known)
+    index = Index(templates, {w: math.log((n + 1) / (found.get(w, 0) + 1)) for w in known})
     wanted = {w.encode(): w for w in {*index.postings, *(w for words, _ in _PHRASES for w in words)}}
-    n, found = document_frequency(docs, sorted(index.postings))
-    idf = {w: math.log((n + 1) / (found.get(w, 0) + 1)) for w in index.postings}
+    shared = docs.sparkSession.sparkContext.broadcast((index, wanted))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, wanted = shared.value
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 rows = []
                 for _, n_words, places, words in _spotted(part, wanted):
                     base = base_places(places)
                     labels = {x for _, x in base}
-                    matched = []
-                    if _enough(index, places):
-                        matched = index.match(words(), places, idf)
+                    matched = index.match(words(), places) if index.candidates(places) else []
                     starts = [p for p, _ in base]
                     rows.append((
                         n_words, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
@@ -236,15 +251,6 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 
     return docs.select("doc_id", "text").mapInArrow(
         scanned,
-        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string,"
-        " score double, places array<string>",
+        f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string,"
+        " labels string, score double, places array<string>",
     )
-
-
-def _enough(index: Index, places: dict[str, list[int]]) -> bool:
-    """Whether some template has enough of its words in the text to match."""
-    have: Counter[int] = Counter()
-    for w in places:
-        for k in {k for k, _ in index.postings.get(w, ())}:
-            have[k] += 1
-    return any(n >= LEAST_SCORE * len(set(index.words[k])) - 1 for k, n in have.items())

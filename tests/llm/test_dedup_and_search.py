@@ -260,6 +260,34 @@ def test_license_places_match_brute_force(spark):
     assert found[n + 2]["labels"] == "" and license_index.scan(empty(spark)).count() == 0
 
 
+def test_license_templates_match_brute_force(spark):
+    """Every template at every shift of every text."""
+    m, r = license_index, random.Random(11)
+    rows = [prose(i, 40) for i in range(10)]
+    for i in range(80):
+        own = r.choice(m.TEMPLATES).text.split()
+        for _ in range(r.randrange(0, max(1, len(own) // 3))):
+            k = r.randrange(len(own))
+            own[k : k + 1] = r.choice(([], ["other"], [own[k], "and"]))
+        rows.append(" ".join([prose(i, r.randrange(1, 30)), *own, r.choice(m.TEMPLATES).text if i % 5 == 0 else "", prose(i + 90, r.randrange(1, 30))]))
+    rows.append(" ".join(["the software the license"] * 40))
+    found = {x["doc_id"]: x for x in m.scan(documents(spark, rows)).collect()}
+    some = 0
+    for i, text in enumerate(rows):
+        words, want = text.lower().split(), {}
+        for t in m.TEMPLATES:
+            own = t.text.split()
+            for shift in range(-len(own), len(words)):
+                score = m.in_place(own, words, shift) / len(own)
+                stretch = " " + " ".join(words[max(0, shift - m.SLACK) : max(0, shift + len(own) + m.SLACK)]) + " "
+                if score >= m.LEAST_SCORE and all(f" {k} " in stretch for k in t.keys):
+                    want[t.label] = max(score, want.get(t.label, 0))
+        some += len(want)
+        assert set(found[i]["labels"].split(",")) - {"mit", "apache", "gpl", ""} == set(want)
+        assert found[i]["score"] == pytest.approx(max(want.values(), default=0.0))
+    assert some > 60
+
+
 @pytest.fixture(scope="module")
 def field(spark):
     return secret_crf.fit(documents(spark, texts() + [prose(i, 200) for i in range(60)]))
