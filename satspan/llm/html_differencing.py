@@ -16,7 +16,9 @@ the one just after it, to compare with only.
 
 Defined results: null or empty html has an empty text; null urls have no
 neighbour; very long pages are read whole; repeated rows are neighbours of each
-other; an empty table gives an empty result; extra columns are ignored.
+other; page ids may be null and of any type (their order is that of their text if
+they are no numbers); an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -181,10 +183,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, n = main_text(now[3], near)
         return (*now[2], text, len(text), n)
 
-    schema = pa.schema([
-        ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared_lines", pa.int64()),
-    ])
+    schema = None
     for batch in batches:
+        schema = schema or pa.schema([
+            ("page_id", batch.schema.field("page_id").type), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared_lines", pa.int64()),
+        ])
         cols = [batch.column(batch.schema.get_field_index(c)) for c in ("dealt", "key", "page_id", "url", "html")]
         rows, size = [], 0
         for i in range(batch.num_rows):
@@ -206,8 +209,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dealt_out(pages: DataFrame) -> DataFrame:
     """The pages with their range, in order within it, and those to compare with."""
-    least = -(1 << 63)  # where a null id stands in the order
-    own = F.coalesce(F.col("page_id").cast("long"), F.lit(least))
+    number = dict(pages.dtypes)["page_id"] in ("tinyint", "smallint", "int", "bigint")
+    # Where a null id stands in the order.
+    own = F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))) if number else F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     keys = global_rank(pages.select(url_key(F.col("url")).alias("key"), own.alias("id")).distinct(), ["key", "id"], "html-keys")
     n = keys.agg(F.max("n_rows")).first()[0] or 0
     every = max(RANGE_PAGES, -(-n // MOST_RANGES))
@@ -237,12 +241,12 @@ def dealt_out(pages: DataFrame) -> DataFrame:
         .withColumn("dealt", F.explode(dealt_to("key", own)))
         .withColumn("range", F.floor(F.col("dealt") / 2))
         .repartition("range")
-        .sortWithinPartitions("range", "key", "page_id")
+        .sortWithinPartitions("range", "key", own)
     )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and n_shared_lines of every page."""
     return dealt_out(pages).mapInArrow(
-        _extracted, "page_id long, url string, text string, n_chars long, n_shared_lines long"
+        _extracted, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long, n_shared_lines long"
     )

@@ -86,6 +86,45 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     assert a == b and all("top" not in t for t in a.values())
 
 
+def test_differencing_matches_brute_force(spark):
+    """Shared lines by the table method; without neighbours other texts come out."""
+    import random
+
+    r = random.Random(2)
+    menu = [[f"{h}{i} {prose(10 * h + i, 3)}" for i in range(8)] for h in range(3)]
+    rows, lines = [], {}
+    for i in range(60):
+        h = i % 3
+        own = [*menu[h][: r.randint(1, 4)], *(prose(900 + 7 * i + k, 9) for k in range(r.randint(1, 4))), *menu[h][4 + r.randint(0, 3) :]]
+        lines[i] = own
+        rows.append((i, f"http://h{h}.example/{'ab'[i % 2]}/{i:03d}?q={i}", "<body>" + "".join(f"<p>{x}</p>" for x in own) + "</body>"))
+    found = {x["page_id"]: x for x in html_differencing.extract(pages(spark, rows)).collect()}
+
+    def shared(a, b):
+        best = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + (i,) if x == y else max(best[i][j + 1], best[i + 1][j], key=len)
+        return {a[i] for i in best[-1][-1]}
+
+    order = {h: sorted((i for i in lines if i % 3 == h), key=lambda i: (i % 2, i)) for h in range(3)}
+    alone = 0
+    for i, own in lines.items():
+        k = order[i % 3].index(i)
+        near = [order[i % 3][j] for j in (k - 1, k + 1) if 0 <= j < len(order[i % 3])]
+        gone = set().union(*(shared(own, lines[j]) for j in near))
+        assert found[i]["text"] == "\n".join(x for x in own if x not in gone)
+        alone += found[i]["text"] != "\n".join(own)
+    assert alone > 50
+
+
+def test_pages_with_string_ids(spark):
+    rows = [("a", "http://h.example/1", "<div>top</div><p>one</p>"), ("b", "http://h.example/2", "<div>top</div><p>two</p>"), (None, None, "<p>x</p>"), (None, None, "<p>x</p>"), ("a", None, None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    found = sorted((r["page_id"] or "", r["text"]) for r in html_differencing.extract(df).collect())
+    assert found == [("", "x"), ("", "x"), ("a", ""), ("a", "one"), ("b", "two")]
+
+
 def test_neighbours_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(html_differencing, "RANGE_PAGES", 2)
     rows = [(i, f"http://h.example/index.php?id={i}", f"<div>top</div><p>{prose(i, 12)}</p>") for i in range(9)]
