@@ -49,6 +49,8 @@ SIMILARITY = 0.75
 LEAST_ESTIMATE = 0.60
 #: Bytes of text that are worked on at once.
 PIECE = 1_000_000
+#: Classes that are broadcast at most, of about 100 bytes each.
+BROADCAST_CLASSES = 100_000
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -127,17 +129,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", PIECE):
             sets = [s for s in shingle_sets(part.column(0)) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "items"])
-
-
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = [np.frombuffer(x, np.int64) for x in part.column(0).to_pylist()]
-            n = np.array([len(s) for s in sets])
-            cols = [np.concatenate(sets), *(np.repeat(x, n) for x in (part.column(1).to_numpy(), n, part.column(2).to_numpy()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "id", "n", "component"])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U), *sets]).view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.string()), items], ["set_key", "items"])
 
 
 def _banded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,23 +154,13 @@ def _likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f.loc[j >= LEAST_ESTIMATE, ["a", "b"]]
 
 
-def _confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        both = np.array([
-            len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True))
-            for x, y in zip(f["items_a"], f["items_b"])
-        ], dtype=np.int64)
-        sizes = np.array([(len(x) + len(y)) // 8 for x, y in zip(f["items_a"], f["items_b"])], dtype=np.int64)
-        yield f.loc[100 * both >= 75 * (sizes - both), ["a", "b"]]
-
-
 def _sets_of(docs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """``classes(set_key, doc_id, ...)`` with the items of each class, found again
     in the text of one of its documents."""
     classes = materialize(classes, f"{label}-wanted")
     wanted = filter_by_ids(docs.select("doc_id", "text"), classes.select("doc_id").distinct(), "left_semi").select("text")
-    sets = wanted.mapInArrow(_sets, "set_key string, items binary")
-    few = classes.count() <= BROADCAST_IDS // 4
+    sets = wanted.mapInArrow(_sets, "set_key string, items array<long>")
+    few = classes.count() <= BROADCAST_CLASSES
     held = sets.join(F.broadcast(classes) if few else classes, "set_key")  # an id may have other texts too
     return materialize(held.dropDuplicates(["set_key"]), label)
 
@@ -190,9 +174,9 @@ def _checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, label: str) ->
     ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     sets = _sets_of(docs, reps.join(ids, "id", "left_semi").select("set_key", "doc_id", "id"), f"{label}-sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
-    return materialize(
-        likely.join(side("b"), "b").join(side("a"), "a").mapInPandas(_confirmed, "a long, b long"), f"{label}-links"
-    )
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    similar = 100 * both >= 75 * (F.size("items_a") + F.size("items_b") - both)
+    return materialize(likely.join(side("b"), "b").join(side("a"), "a").where(similar).select("a", "b"), f"{label}-links")
 
 
 def _rare_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
@@ -203,8 +187,8 @@ def _rare_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
     these, so no link is lost, and passages that many texts hold come last in
     the order and are not paired on.
     """
-    sets = _sets_of(docs, open_, "setsketch-open").select("items", "id", "component")
-    rows = materialize(sets.mapInArrow(_items, "item long, id long, n long, component long"), "setsketch-items")
+    sets = _sets_of(docs, open_, "setsketch-open")
+    rows = sets.select(F.explode("items").alias("item"), "id", F.size("items").cast("long").alias("n"), "component")
     # Counted in each task first, so that a common shingle is few rows.
     copies = rows.groupBy("item").agg(F.count("*").alias("copies")).where("copies > 1")
     shared = rows.join(copies, "item")
