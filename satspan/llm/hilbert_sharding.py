@@ -10,8 +10,9 @@ out, and a row's rank is its place in its partition plus the rows of the
 partitions before it; only one row per partition meets in one task.
 
 Defined results: null text has 16 bytes and the checksum of an empty text; null
-dimensions quantise to cell 0; repeated rows take slots of their own; an empty
-table gives an empty result; extra columns are ignored.
+dimensions quantise to cell 0; repeated rows take slots of their own; ids may be
+null and of any type; an empty table gives an empty result; extra columns are
+ignored.  The distinct languages and sources (a row each) meet in one task.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ Every measure is a column expression, every rule a row of :data:`RULES`
 into one boolean column; no user function runs.
 
 Defined results: null or empty text has no words and fails the length rule;
-very long texts are measured whole; equal rows give equal results; extra input
-columns are ignored; an empty table gives an empty result.
+very long texts are measured whole; equal rows give equal results; ids may be
+null, repeated and of any type; extra input columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ document in which they end gives the missing words only.
 
 Defined results: null text has size 0 and takes 0; the null source is a source
 of its own, last in order; repeated rows are documents of their own; a mix of
-no words takes none; extra columns are ignored by ``plan``.
+no words takes none; ids may be null, repeated and of any type; extra columns
+are ignored by ``plan`` and kept by ``mix``.  The table of sources (a row each)
+meets in one task: the order by code point and the water level are over all.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ def _seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def row_key(seed: int) -> Column:
+    """Where a document stands in the seeded order: by its id and its text."""
+    return _seeded(seed, F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def water_fill(sources: DataFrame, total: Column, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """``sources(source, source_size, weight)`` with ``target``.
 
@@ -70,8 +77,8 @@ def weigh(sizes: DataFrame, share: float = SHARE) -> DataFrame:
 def plan(docs: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
     """Per document ``size``, ``source_size``, ``target``, ``whole`` (repetitions
     that all documents of the source get), ``part`` (words of the fractional
-    one) and ``taken = whole * size + part``."""
-    key = _seeded(seed, F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    one), ``taken = whole * size + part`` and ``order``, its ``row_key``."""
+    key = row_key(seed)
     rows = materialize(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("order"))
         .withColumn("slice", F.pmod(F.shiftright("order", 20), F.lit(BUCKETS)).cast("int")),
@@ -114,21 +121,23 @@ def plan(docs: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
     left = F.col("wanted") - F.col("end_before") - F.coalesce(F.sum("size").over(within), F.lit(0))
     edge = joined.where(at_end).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     return plain.unionByName(edge).withColumn("taken", F.col("whole") * F.col("size") + F.col("part")).drop(
-        "order", "slice", "wanted", "end_slice", "end_before"
+        "slice", "wanted", "end_slice", "end_before"
     )
 
 
 def mix(docs: DataFrame, seed: int = SEED, share: float = SHARE) -> DataFrame:
     """The mixed documents with their own columns: a row for each whole
     repetition, and one more where the fractional one takes at least half of
-    the document.  Rows with one id share the largest number of them."""
+    the document.  Rows are told apart by id, source and text; those equal in all
+    three share the rounded mean of their repetitions."""
     copies = F.col("whole") + F.when((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     counts = (
-        plan(docs, seed, share).groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max(copies).cast("int").alias("_copies")).where("_copies > 0")
+        plan(docs, seed, share).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("order").alias("_order"))
+        .agg(F.round(F.avg(copies)).cast("int").alias("_copies")).where("_copies > 0")
     )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_order"))
     return (
-        docs.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+        docs.withColumn("_key", row_key(seed)).join(counts, same)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(*docs.columns)
     )

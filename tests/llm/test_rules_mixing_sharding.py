@@ -89,6 +89,21 @@ def test_mixing_edges(spark):
     assert source_mixing.mix(docs).columns == docs.columns
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    rows = [(str(i % 5) if i % 7 else None, prose(i, 20 + i % 30), f"s{i % 3}", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, order int")
+    taken = {r["source"]: r["t"] for r in source_mixing.plan(docs).groupBy("source").agg(F.max("target").alias("t")).collect()}
+    mixed = source_mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got, times = Counter(), Counter()
+    for r in mixed.collect():
+        got[r["source"]] += len(r["text"].split())
+        times[r["order"]] += 1
+    assert all(abs(got[s] - t) <= 60 for s, t in taken.items()) and max(times.values()) <= 2
+    named = docs.withColumnRenamed("doc_id", "x").withColumn("doc_id", F.concat(F.lit("é"), "x")).withColumn("lang", F.lit(None).cast("string"))
+    assert hilbert_sharding.plan(named).count() == quality_rules.score(named).count() == 300
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     n = 8
     cells = spark.range(n**3).select(
