@@ -105,6 +105,17 @@ def cap_half_angle_of(radius_km: Column, mask_deg: float) -> Column:
     return F.lit(90.0 - mask_deg) - F.degrees(F.asin(F.least(F.lit(1.0), F.lit(RE * math.cos(math.radians(mask_deg))) / radius_km)))
 
 
+def bisection_steps(span_s: float, tolerance_s: float) -> int:
+    """Halvings that bring a bracket of ``span_s`` within the tolerance."""
+    return max(1, math.ceil(math.log2(max(span_s / tolerance_s, 1.0))))
+
+
+def refine(low: Column, high: Column, value, threshold: Column, span_s: float, tolerance_s: float) -> Column:
+    """The crossing within the tolerance; an error where there is no sign change."""
+    found = bisect(low, high, value, threshold, bisection_steps(span_s, tolerance_s))
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("no crossing between the ends")).cast("double"))
+
+
 def bisect(low: Column, high: Column, value, threshold: Column, steps: int) -> Column:
     """The crossing of ``value`` (a function of a column) by halving ``steps``
     times; null where the ends do not differ in sign."""

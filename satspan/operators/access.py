@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,19 @@ from satspan.sources.grid import tile, tiles_near
 #: Covers the ellipsoid: geodetic against geocentric latitude (0.19 degrees)
 #: and the shorter polar radius (0.2 degrees of cap), with a margin.
 SAFETY_DEG = 0.60
+#: Keys that the states of one tile are dealt to.
+SPLIT = 8
+
+
+class Propagator(Protocol):
+    """Anything that gives satellites their Earth-fixed states (``sat_idx, t_idx,
+    x, y, z, sub_lat_deg, sub_lon_deg`` and the satellites' other columns)."""
+
+    def __call__(self, satellites: DataFrame, times: DataFrame) -> DataFrame: ...
+
+
+def two_body(satellites: DataFrame, times: DataFrame) -> DataFrame:
+    return satellite_states(satellites, times, 0.0)
 
 
 def satellite_states(satellites: DataFrame, times: DataFrame, j2: float = orbit.J2) -> DataFrame:
@@ -64,7 +78,7 @@ def azimuth_deg() -> Column:
 
 
 def in_view(
-    cells: DataFrame, states: DataFrame, mask_deg: float, max_altitude_km: float | None = None, tiled: bool = True
+    cells: DataFrame, states: DataFrame, mask_deg: float, max_altitude_km: float | None = None, tiled: bool = True, split: int = SPLIT
 ) -> DataFrame:
     """Rows (cell, satellite, step) with elevation at or above the mask.
 
@@ -73,7 +87,9 @@ def in_view(
     without it all pairs are (the form that tests compare with).  The exact
     filter follows either way.  The cap is that of the state's own distance,
     which no orbit's a(1 + e) is below; ``max_altitude_km`` bounds nothing any
-    more and stays for callers that give it.
+    more and stays for callers that give it.  A tile's states are dealt to
+    ``split`` keys by their step and its cells go to each of them, so a region
+    of a few tiles still spreads over ``split`` times as many tasks.
     """
     ground = ground_vectors(cells)
     if tiled:
@@ -81,7 +97,9 @@ def in_view(
         radius = orbit.cap_half_angle_of(distance, mask_deg) + SAFETY_DEG
         near = states.withColumn("_tile", F.explode(tiles_near(F.col("sub_lat_deg"), F.col("sub_lon_deg"), radius)))
         near = near.withColumns({"band": F.col("_tile.band"), "place": F.col("_tile.place")}).drop("_tile")
-        pairs = ground.join(near, ["band", "place"])
+        key = F.pmod(F.col("t_idx"), F.lit(split)).cast("int")
+        ground = ground.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+        pairs = ground.join(near.withColumn("_split", key), ["band", "place", "_split"]).drop("_split")
     else:
         pairs = ground.crossJoin(states)
     dot, length = look()
@@ -91,3 +109,30 @@ def in_view(
         .withColumn("elev_deg", orbit.clipped_asin_deg(F.col("_dot") / F.col("_rng")))
         .drop("_dot", "_rng", "band", "place")
     )
+
+
+def ground_speed_km_s(altitude_km: float) -> float:
+    """Speed of the sub-point of a circular orbit over a resting Earth."""
+    return orbit.RE * math.sqrt(orbit.MU / (orbit.RE + altitude_km) ** 3)
+
+
+#: Km of a degree of arc, and the margin of the search circle.
+KM_PER_DEG = 111.195
+MARGIN_DEG = 0.30
+
+
+def dilation_deg(altitude_km: float, mask_deg: float, cell_radius_deg: float, step_s: float) -> float:
+    """Radius around a cell's centre that holds the sub-points of all satellites
+    that any of the cell sees within half a step."""
+    halo = ground_speed_km_s(altitude_km) * step_s / 2 / KM_PER_DEG
+    return orbit.cap_half_angle_deg(altitude_km, mask_deg) + cell_radius_deg + halo + MARGIN_DEG
+
+
+def above_terrain(access: DataFrame, masks: DataFrame, mask_deg: float, n_bins: int) -> DataFrame:
+    """The pairs whose elevation reaches the mask and the horizon of the azimuth
+    bin; ``masks(cell_idx, az_bin, mask_deg)``, a bin without a row is open."""
+    az_bin = F.least(F.floor(azimuth_deg() * n_bins / 360), F.lit(n_bins - 1))
+    held = masks.select("cell_idx", "az_bin", F.col("mask_deg").alias("_mask"))
+    return access.withColumn("az_bin", az_bin).join(held, ["cell_idx", "az_bin"], "left").where(
+        F.col("elev_deg") >= F.greatest(F.lit(mask_deg), F.coalesce("_mask", F.lit(0.0)))
+    ).drop("_mask")

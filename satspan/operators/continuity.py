@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +28,23 @@ def worst_gap(cells: DataFrame, access: DataFrame, n_time: int, key: str = "cell
     return steps.withColumn("_gap", gap).groupBy(key).agg(F.max("_gap").cast("long").alias("worst_gap_steps"))
 
 
-def handover(spans: DataFrame, n_time: int, least_overlap: int = 1, different_plane: bool = False, key: str = "cell_idx") -> DataFrame:
+def handover(
+    spans: DataFrame, n_time: int, least_overlap: int = 1, different_plane: bool = False, key: str = "cell_idx",
+    different_sat: bool = True, cells: DataFrame | None = None,
+) -> DataFrame:
     """Widest path over a cell's intervals from the first to the last step.
 
     ``spans(key, sat_idx, start_idx, end_idx[, plane_uid])``; a chain moves to a
-    later-ending interval of another satellite (and plane) that overlaps by
-    ``least_overlap`` steps or more.  Per cell: whether a chain spans all steps,
-    its smallest overlap (-1 for none) and number of handovers.  Intervals of
-    one cell are bounded by satellites times passes, so a fold over the sorted
-    array stays in the row.
+    later-ending interval (of another satellite, of another plane) that overlaps
+    by ``least_overlap`` steps or more.  Per cell: whether a chain spans all
+    steps, its smallest overlap (-1 for none), number of handovers (-1 if
+    infeasible) and the longest run of steps that no interval covers (0 if
+    feasible).  ``cells`` names all cells, so that those without an interval stay.
+
+    Intervals of one cell are sorted by end and folded in the row.  An interval
+    is carried on only while a later one can still overlap it: those that ended
+    before the start of every later one are let go, so the fold holds about as
+    many as are in view at once.
     """
     plane = F.col("plane_uid") if "plane_uid" in spans.columns else F.lit(-1)
     spans = spans.select(
@@ -44,6 +54,9 @@ def handover(spans: DataFrame, n_time: int, least_overlap: int = 1, different_pl
             F.col("sat_idx").cast("long").alias("sat"), plane.cast("long").alias("p"),
         ).alias("v"),
     )
+    # The least start of the intervals from here on: what ended before is let go.
+    rest = Window.partitionBy(key).orderBy(F.desc("v.e"), F.desc("v.s"), F.desc("v.sat")).rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("v", F.col("v").withField("low", F.min("v.s").over(rest)))
     least = max(1, least_overlap)
     whole = F.lit(n_time).cast("long")
     state = "array<struct<e:bigint,s:bigint,sat:bigint,p:bigint,width:bigint,hops:bigint>>"
@@ -56,7 +69,9 @@ def handover(spans: DataFrame, n_time: int, least_overlap: int = 1, different_pl
 
         def better(best, u):
             overlap = u["e"] - v["s"] + 1
-            fits = (u["e"] < v["e"]) & (overlap >= least) & (u["sat"] != v["sat"]) & (u["width"] > 0)
+            fits = (u["e"] < v["e"]) & (overlap >= least) & (u["width"] > 0)
+            if different_sat:
+                fits = fits & (u["sat"] != v["sat"])
             if different_plane:
                 fits = fits & (u["p"] != v["p"]) & (u["p"] >= 0) & (v["p"] >= 0)
             width = F.least(u["width"], overlap)
@@ -67,7 +82,8 @@ def handover(spans: DataFrame, n_time: int, least_overlap: int = 1, different_pl
             F.array(F.aggregate(done, start, better)),
             lambda b: F.struct(v["e"].alias("e"), v["s"].alias("s"), v["sat"].alias("sat"), v["p"].alias("p"), b["width"].alias("width"), b["hops"].alias("hops")),
         )
-        return F.concat(done, F.filter(found, lambda x: x["width"] > 0))
+        open_ = F.filter(done, lambda u: (u["e"] - v["low"] + 1 >= least) | (u["e"] >= n_time - 1))
+        return F.concat(open_, F.filter(found, lambda x: x["width"] > 0))
 
     none = F.struct(F.lit(-1).cast("long").alias("width"), F.lit(-1).cast("long").alias("hops"))
     chains = spans.groupBy(key).agg(F.array_sort(F.collect_list("v")).alias("v")).withColumn(
@@ -78,12 +94,53 @@ def handover(spans: DataFrame, n_time: int, least_overlap: int = 1, different_pl
         goals, none,
         lambda b, c: F.when(c["width"] > b["width"], F.struct(c["width"].alias("width"), c["hops"].alias("hops"))).otherwise(b),
     )
-    return chains.withColumn("best", best).select(
+    # The union of the intervals, sorted by start: where it is open.
+    gap = F.aggregate(
+        F.array_sort(F.transform("v", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))),
+        F.struct(F.lit(0).cast("long").alias("next"), F.lit(0).cast("long").alias("gap")),
+        lambda a, x: F.struct(F.greatest(a["next"], x["e"] + 1).alias("next"), F.greatest(a["gap"], x["s"] - a["next"]).alias("gap")),
+        lambda a: F.greatest(a["gap"], F.lit(n_time) - a["next"]),
+    )
+    found = chains.withColumns({"best": best, "_gap": gap}).select(
         key,
         (F.col("best.width") > 0).alias("feasible"),
         F.when(F.col("best.hops") > 0, F.col("best.width")).otherwise(F.lit(-1)).cast("long").alias("worst_overlap"),
         F.col("best.hops").alias("n_handovers"),
+        F.when(F.col("best.width") > 0, 0).otherwise(F.col("_gap")).cast("long").alias("worst_gap_steps"),
     )
+    if cells is None:
+        return found
+    missing = {"worst_overlap": -1, "n_handovers": -1, "worst_gap_steps": n_time}
+    return cells.select(key).join(found, key, "left").fillna(False, ["feasible"]).fillna(missing)
+
+
+def needed_steps(overlap_s: float, step_s: float) -> int:
+    """Steps of an overlap; one for none."""
+    return math.ceil(overlap_s / step_s - 1e-9) + 1 if overlap_s > 0 else 1
+
+
+def check_sampling(overlap_s: float | None, step_s: float) -> None:
+    if overlap_s and step_s > 0.5 * overlap_s:
+        raise ValueError(f"a step of {step_s} s cannot tell an overlap of {overlap_s} s; half of it is the most")
+
+
+def continuity_map(
+    cells: DataFrame, access: DataFrame, n_time: int, step_s: float, overlap_s: float = 0.0, different_plane: bool = False,
+    different_sat: bool = True, keys: tuple[str, ...] = ("cell_idx",),
+) -> DataFrame:
+    """Per cell ``mbb_feasible``, ``mbb_overlap_worst_s`` (-1 without a handover),
+    ``mbb_n_handovers`` and ``mbb_worst_gap_s``; every cell has a row."""
+    check_sampling(overlap_s, step_s)
+    key = "_key"
+    made = F.struct(*keys)
+    plane = ["plane_uid"] if "plane_uid" in access.columns else []
+    spans = intervals(access.withColumn(key, made), [key, "sat_idx", *plane])
+    found = handover(spans, n_time, needed_steps(overlap_s, step_s), different_plane, key, different_sat, cells.withColumn(key, made))
+    overlap = F.when(F.col("worst_overlap") < 0, -1.0).otherwise((F.col("worst_overlap") - 1) * float(step_s))
+    return found.select(
+        *[F.col(f"{key}.{k}").alias(k) for k in keys], F.col("feasible").alias("mbb_feasible"), overlap.alias("mbb_overlap_worst_s"),
+        F.col("n_handovers").alias("mbb_n_handovers"), (F.col("worst_gap_steps") * float(step_s)).alias("mbb_worst_gap_s"),
+    )
 
 
 def timeline(links: DataFrame, unit: str, time: str, tail: int = 900) -> DataFrame:

@@ -37,6 +37,24 @@ def summary(rows: DataFrame, group: str, target: float, ks: tuple[int, ...] = (1
     return rows.groupBy(group).agg(*aggs)
 
 
+def k_values(ks: list[int] | None = None, default_k: int = 2) -> tuple[int, ...]:
+    """The k values of a run, sorted and without repeats: those given, and the
+    default one; without any, 1 and 2."""
+    wanted = {*(ks or ()), *([default_k] if ks is None and default_k not in (1, 2) else [])}
+    return tuple(sorted(wanted or {1, 2}))
+
+
+def availability_summary(rows: DataFrame, k: int = 1) -> DataFrame:
+    """One row: mean, least and largest availability, satellites in view and the
+    share of cells with a handover chain, if known."""
+    a = F.col(f"availability_k{k}")
+    feasible = F.avg(F.col("mbb_feasible").cast("double")) if "mbb_feasible" in rows.columns else F.lit(None).cast("double")
+    return rows.agg(
+        F.count("*").alias("n_cells"), F.avg(a).alias("mean_availability"), F.min(a).alias("min_availability"), F.max(a).alias("max_availability"),
+        F.avg("sats_in_view_mean").alias("mean_sats_in_view"), F.max("sats_in_view_mean").alias("max_sats_in_view"), feasible.alias("feasible_share"),
+    )
+
+
 def latitude_bin(lat: Column, width: float = 2.0) -> Column:
     """Lower edge of the right-open latitude bin."""
     return F.floor(lat / width) * width

@@ -16,36 +16,47 @@ def hour(ts: str) -> Column:
     return F.floor(F.unix_timestamp(ts) / 3600)
 
 
-def forward_reference(left: DataFrame, right: DataFrame, at: str, ref: str) -> DataFrame:
-    """As-of join: each ``at`` with the least ``ref`` not before it.
+def forward_value(left: DataFrame, refs: DataFrame, at: str, ref: str, width: float, out: str = "reference") -> DataFrame:
+    """As-of join: each ``at`` with the least ``ref`` not below it, null if all
+    are; both are numbers.
 
-    A union in time order and one window per day; rows after a day's last
-    reference take the first one of a later day.
+    Rows and references meet in buckets of ``width``, in falling order, so one
+    running minimum tells each row; a bucket's rows above its last reference take
+    the first one of a later bucket, from a table of a row per bucket.
     """
-    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
-    left = left.withColumn(at, F.col(at).cast("timestamp"))
-    refs = right.select(F.col(ref).cast("timestamp").alias("_ref")).distinct()
-    first = refs.groupBy(day("_ref").alias("_day")).agg(F.min("_ref").alias("_first"))  # one row per day
-    rows = left.withColumns({"_t": F.col(at), "_day": day(at), "_ref": F.lit(None).cast("timestamp")})
-    both = rows.unionByName(
-        refs.withColumns({"_t": F.col("_ref"), "_day": day("_ref")}), allowMissingColumns=True
-    )
-    seconds = Window.partitionBy("_day").orderBy(F.col("_us")).rangeBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_us", F.unix_micros("_t")).withColumn("_in_day", F.min("_ref").over(seconds))
-    mine = found.where(F.col(at).isNotNull())
-    days = mine.select("_day").distinct()
-    # A day without references takes the first one of the next day that has some.
-    nxt = days.unionByName(first, allowMissingColumns=True).groupBy("_day").agg(F.max("_first").alias("_first"))
-    following = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    nxt = nxt.select("_day", F.first("_first", ignorenulls=True).over(following).alias("_later"))
+    bucket = lambda c: F.floor(F.col(c) / width)
+    held = refs.select(F.col(ref).alias("_ref")).where("_ref is not null").distinct()
+    first = held.groupBy(bucket("_ref").alias("_bucket")).agg(F.min("_ref").alias("_first"))
+    rows = left.withColumns({"_at": F.col(at), "_bucket": bucket(at), "_row": F.lit(True)})
+    both = rows.unionByName(held.withColumns({"_at": F.col("_ref"), "_bucket": bucket("_ref")}), allowMissingColumns=True)
+    falling = Window.partitionBy("_bucket").orderBy(F.desc("_at"), F.desc_nulls_last("_ref")).rowsBetween(Window.unboundedPreceding, 0)
+    mine = both.withColumn("_near", F.min("_ref").over(falling)).where("_row")
+    # A bucket without references takes the first one of the next that has some.
+    every = rows.select("_bucket").distinct().unionByName(first, allowMissingColumns=True).groupBy("_bucket").agg(F.max("_first").alias("_first"))
+    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = every.select("_bucket", F.min("_first").over(later).alias("_later"))
     return (
-        mine.join(F.broadcast(nxt), "_day", "left")  # one row per calendar day
-        .withColumn("reference", F.coalesce("_in_day", "_later"))
-        .drop("_t", "_day", "_ref", "_us", "_in_day", "_later")
+        mine.join(F.broadcast(nxt), "_bucket", "left")  # one row per bucket
+        .withColumn(out, F.coalesce("_near", "_later"))
+        .select(*left.columns, out)
     )
 
 
-def observed_coverage(segments: DataFrame, ks: tuple[int, ...] = (1, 2)) -> DataFrame:
+def forward_reference(left: DataFrame, right: DataFrame, at: str, ref: str) -> DataFrame:
+    """As-of join of times: each ``at`` with the least ``ref`` not before it; by
+    the hour, with the first reference of a later hour carried in."""
+    left = left.withColumns({at: F.col(at).cast("timestamp"), "_us": F.unix_micros(F.col(at).cast("timestamp"))})
+    refs = right.select(F.unix_micros(F.col(ref).cast("timestamp")).alias("_us_ref"))
+    found = forward_value(left, refs, "_us", "_us_ref", 3.6e9, "_found")
+    return found.withColumn("reference", F.timestamp_micros("_found")).drop("_us", "_found")
+
+
+def satellite_of(antenna: Column) -> Column:
+    """The satellite that an antenna id names: all up to ``-platform``."""
+    return F.substring_index(antenna, "-platform", 1)
+
+
+def observed_coverage(segments: DataFrame, ks: tuple[int, ...] = (1, 2), sat_of=satellite_of) -> DataFrame:
     """Availability from accessibility segments.
 
     ``segments(id, interval_start_s, sampling_resolution_s, accessibilities)``
@@ -56,8 +67,8 @@ def observed_coverage(segments: DataFrame, ks: tuple[int, ...] = (1, 2)) -> Data
     pattern = r"^T:([^#]*)#([^@]*)@([^/]*)/(.*)"
     part = lambda i: F.regexp_extract("id", pattern, i)
     rows = segments.where(F.col("id").rlike(pattern)).select(
-        F.substring_index(part(2), "-platform", 1).alias("sat"), part(3).cast("double").alias("lat_deg"),
-        part(4).cast("double").alias("lon_deg"), "interval_start_s", "sampling_resolution_s", F.posexplode("accessibilities").alias("pos", "seen"),
+        sat_of(part(2)).alias("sat"), part(3).try_cast("double").alias("lat_deg"),
+        part(4).try_cast("double").alias("lon_deg"), "interval_start_s", "sampling_resolution_s", F.posexplode("accessibilities").alias("pos", "seen"),
     ).withColumn("t_s", F.col("interval_start_s") + F.col("pos") * F.col("sampling_resolution_s"))
     n = rows.agg(F.countDistinct("t_s").alias("n_time"))  # one row
     per = (
@@ -70,6 +81,113 @@ def observed_coverage(segments: DataFrame, ks: tuple[int, ...] = (1, 2)) -> Data
     )
 
 
+def platform_series(segments: DataFrame) -> DataFrame:
+    """``id, pos, seen`` of segments whose flags are the blocks of several
+    platforms in a row: a sample is seen if any platform sees it. Flags that do
+    not divide by the platforms are one series."""
+    n = F.greatest(F.size("platforms"), F.lit(1))
+    samples = F.when(F.size("accessibilities") % n == 0, F.floor(F.size("accessibilities") / n)).otherwise(F.size("accessibilities"))
+    rows = segments.select("id", samples.alias("_n"), F.posexplode("accessibilities").alias("p", "seen"))
+    return rows.groupBy("id", (F.col("p") % F.col("_n")).cast("long").alias("pos")).agg(F.bool_or("seen").alias("seen"))
+
+
+def merge_buckets(buckets: DataFrame, ks: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Coverage of points over buckets of time: availabilities weighted by the
+    samples of each bucket; a point in some buckets only has those."""
+    n = F.sum("n_time")
+    weighted = lambda c: (F.sum(F.col(c) * F.col("n_time")) / n).alias(c)
+    return buckets.groupBy("lat_deg", "lon_deg").agg(
+        n.alias("n_time"), weighted("sats_in_view_mean"), *[weighted(f"availability_k{k}") for k in ks]
+    )
+
+
+def by_prefix(rows: DataFrame, prefix: str, column: str = "id") -> DataFrame:
+    """Rows whose id begins so; the scan gets the filter."""
+    return rows.where(F.col(column).startswith(prefix))
+
+
+def committed(rows: DataFrame, start: str, end: str, column: str = "commit_ts") -> DataFrame:
+    """Rows by commit time, which need not be the time that they describe; the
+    start is included, the end is not."""
+    at = F.col(column)
+    return rows.where((at >= F.lit(start).cast("timestamp")) & (at < F.lit(end).cast("timestamp")))
+
+
+def family(entity_id: Column) -> Column:
+    """``drop`` for links between satellites, ``sat``, ``ut``, else ``global``."""
+    return (
+        F.when(entity_id.contains("oisl") | entity_id.contains("-to-satellite-"), "drop")
+        .when(entity_id.rlike(r"^satellite-\d+-"), "sat").when(entity_id.rlike(r"^user-terminal-\d+-"), "ut").otherwise("global")
+    )
+
+
+def link_kind(modulator: Column) -> Column:
+    """Kind of a link by its modulator: an inter-satellite one with its direction,
+    ``user``, ``feeder`` or ``other``."""
+    return (
+        F.when(modulator.contains("oisl"), F.concat(F.lit("oisl-"), F.split_part(F.split_part(modulator, F.lit("oisl-"), F.lit(2)), F.lit("-"), F.lit(1))))
+        .when(modulator.contains("user"), "user").when(modulator.contains("feeder") | modulator.contains("gateway"), "feeder").otherwise("other")
+    )
+
+
+def short_name(entity_id: Column) -> Column:
+    out = entity_id
+    for long, short in (("-platform", ""), ("satellite-", "sat-"), ("gateway-", "gw-"), ("user-terminal-", "ut-"), ("-network-node", "")):
+        out = F.replace(out, F.lit(long), F.lit(short))
+    return out
+
+
+def plane_and_slot(name: Column) -> tuple[Column, Column]:
+    """The last two numbers of a name that ends in ``-a.plane.slot``; null if it
+    does not."""
+    parts = F.regexp_extract(name, r"-([^-]*\.[^-]*\.[^-]*)$", 1)
+    piece = lambda i: F.get(F.split(parts, r"\."), F.lit(i)).try_cast("long")
+    both = piece(1).isNotNull() & piece(2).isNotNull() & (F.size(F.split(parts, r"\.")) == 3)
+    return F.when(both, piece(1)), F.when(both, piece(2))
+
+
+def hop_types(hops: DataFrame, categories: DataFrame) -> DataFrame:
+    """Counts of hops by the categories of their ends; an unknown end is a PoP.
+    ``hops(src, dst)``, ``categories(id, category)``."""
+    side = lambda c: categories.select(F.col("id").alias(c), F.col("category").alias(f"{c}_category"))
+    named = hops.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    return named.groupBy(*[F.coalesce(f"{c}_category", F.lit("PoP")).alias(f"{c}_category") for c in ("src", "dst")]).agg(F.count("*").alias("n"))
+
+
+def busiest(rows: DataFrame, key: str, least: int = 2, top: int = 30) -> DataFrame:
+    """The first ``top`` keys by falling number of rows, of those with at least
+    ``least``; ties by key."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(top)
+
+
+def first_buckets(rows: DataFrame, bucket: str, n: int) -> DataFrame:
+    """Rows of the first n buckets by name."""
+    names = rows.select(bucket).distinct().orderBy(bucket).limit(n)  # n rows
+    return rows.join(F.broadcast(names), bucket, "left_semi")
+
+
+def waves(rows: DataFrame, at: str, kind: str, bins: int = 60) -> DataFrame:
+    """Histogram of the hours since the first row, by kind: ``bins`` equal bins, the
+    last one closed."""
+    ends = rows.agg(F.min(at).alias("_a"), F.max(at).alias("_b"))  # one row
+    width = F.greatest((F.col("_b") - F.col("_a")) / F.lit(float(bins)), F.lit(1e-9))
+    bin_ = F.least(F.floor((F.col(at) - F.col("_a")) / width), F.lit(bins - 1)).cast("long")
+    return rows.crossJoin(F.broadcast(ends)).groupBy(kind, bin_.alias("bin")).agg(F.count("*").alias("n"), F.min((F.col(at) - F.col("_a")) / 3600.0).alias("first_hour"))
+
+
+def load_missing(have: DataFrame, required: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of ``required`` that are still to be loaded: those not there yet."""
+    return required.join(have.select(key), key, "left_anti")
+
+
+def load_state(have: DataFrame, required: DataFrame, key: str = "id") -> DataFrame:
+    """One row: rows required and there, and ``complete``, ``partial`` or ``empty``."""
+    both = required.select(key).join(have.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    n, there = F.count("*"), F.count_if(F.col("_there").isNotNull())
+    state = F.when(there == n, "complete").when(there == 0, "empty").otherwise("partial")
+    return both.agg(n.alias("n_required"), there.alias("n_there"), state.alias("state"))
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,9 +41,8 @@ def satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return _t(spark, sf_dir, "customer").select(
-        k.alias("cell_idx"), (-60 + (k * 7 % 1200) / 10.0).alias("lat_deg"), (-180 + (k * 13 % 3600) / 10.0).alias("lon_deg")
-    )
+    lat = F.when(k % 50 == 49, 89.0).otherwise(-60 + (k * 7 % 1200) / 10.0)  # some see no satellite
+    return _t(spark, sf_dir, "customer").select(k.alias("cell_idx"), lat.alias("lat_deg"), (-180 + (k * 13 % 3600) / 10.0).alias("lon_deg"))
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +74,7 @@ st AS (SELECT {extra} sat_idx, plane_uid, t_idx, cos(g) * xi + sin(g) * yi AS x,
 
 
 _CELLS = """
-cell AS (SELECT c_custkey AS cell_idx, -60 + (c_custkey * 7 % 1200) / 10.0 AS lat, -180 + (c_custkey * 13 % 3600) / 10.0 AS lon FROM customer)"""
+cell AS (SELECT c_custkey AS cell_idx, CASE WHEN c_custkey % 50 = 49 THEN 89.0 ELSE -60 + (c_custkey * 7 % 1200) / 10.0 END::DOUBLE AS lat, -180 + (c_custkey * 13 % 3600) / 10.0 AS lon FROM customer)"""
 
 
 def _ground_sql(cell: str = "cell") -> str:
@@ -181,25 +180,29 @@ def worst_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuity.worst_gap(cells(spark, sf_dir), _access(spark, sf_dir), N_TIME)
 
 
-def _handover_sql(rule: str) -> str:
+def _handover_sql(rule: str, least: int = 1) -> str:
     return f"""{_INTERVALS}, ch AS (SELECT cell_idx, sat_idx, plane_uid, e, {N_TIME} AS w FROM iv WHERE s <= 0
     UNION SELECT iv.cell_idx, iv.sat_idx, iv.plane_uid, iv.e, least(ch.w, ch.e - iv.s + 1) FROM ch JOIN iv USING (cell_idx)
-      WHERE iv.e > ch.e AND ch.e - iv.s + 1 >= 1 AND iv.sat_idx <> ch.sat_idx {rule})
-    SELECT cell_idx, coalesce(w > 0, false) AS feasible, CAST(CASE WHEN w < {N_TIME} THEN w ELSE -1 END AS BIGINT) AS worst_overlap
-    FROM (SELECT cell_idx, max(w) FILTER (e >= {N_TIME - 1}) AS w FROM (SELECT cell_idx, e, w FROM ch UNION ALL SELECT cell_idx, 0, 0 FROM iv) GROUP BY cell_idx)"""
+      WHERE iv.e > ch.e AND ch.e - iv.s + 1 >= {least} AND iv.sat_idx <> ch.sat_idx {rule}),
+    best AS (SELECT cell_idx, max(w) FILTER (e >= {N_TIME - 1}) AS w FROM ch GROUP BY cell_idx),
+    pts AS (SELECT cell_idx, t_idx FROM acc UNION SELECT cell_idx, -1 FROM cell UNION SELECT cell_idx, {N_TIME} FROM cell),
+    gap AS (SELECT cell_idx, max(g) AS g FROM (SELECT cell_idx, lead(t_idx) OVER (PARTITION BY cell_idx ORDER BY t_idx) - t_idx - 1 AS g FROM pts) GROUP BY cell_idx),
+    mbb AS (SELECT cell_idx, coalesce(w > 0, false) AS feasible, CAST(CASE WHEN w < {N_TIME} THEN w ELSE -1 END AS BIGINT) AS worst_overlap,
+      CAST(CASE WHEN w > 0 THEN 0 ELSE g END AS BIGINT) AS worst_gap_steps FROM cell LEFT JOIN best USING (cell_idx) JOIN gap USING (cell_idx))"""
 
 
 def _handover(spark: SparkSession, sf_dir: str, different_plane: bool) -> DataFrame:
     spans = continuity.intervals(_access(spark, sf_dir), ["cell_idx", "sat_idx", "plane_uid"])
-    return continuity.handover(spans, N_TIME, 1, different_plane).select("cell_idx", "feasible", "worst_overlap")
+    found = continuity.handover(spans, N_TIME, 1, different_plane, cells=cells(spark, sf_dir))
+    return found.select("cell_idx", "feasible", "worst_overlap", "worst_gap_steps")
 
 
-@_query(_handover_sql(""))
+@_query(_handover_sql("") + " SELECT * FROM mbb")
 def mbb_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _handover(spark, sf_dir, False)
 
 
-@_query(_handover_sql("AND iv.plane_uid <> ch.plane_uid"))
+@_query(_handover_sql("AND iv.plane_uid <> ch.plane_uid") + " SELECT * FROM mbb")
 def mbb_different_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _handover(spark, sf_dir, True)
 
@@ -268,10 +271,13 @@ def cells_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).select("cell_idx", in_polygon(F.col("lat_deg"), F.col("lon_deg"), ring).alias("inside"))
 
 
-_DEM = "dem AS (SELECT 28.0 + 0.1 * (range // 11) AS plat, 79.5 + 0.1 * (range % 11) AS plon, 5000.0 * exp(-pow((28.0 + 0.1 * (range // 11) - 28.5) / 0.2, 2)) AS hm FROM range(121))"
-_HCELL = "hcell AS (SELECT n_nationkey AS cell_idx, 28.03 + n_nationkey * 0.037 AS lat, 79.61 + n_nationkey * 0.031 AS lon FROM nation)"
+_DEM = "dem AS (SELECT 28.0 + 0.1 * (range // 11) AS plat, 79.5 + 0.1 * (range % 11) AS plon, 900.0 + 40.0 * (range % 11) + 5000.0 * exp(-pow((28.0 + 0.1 * (range // 11) - 28.5) / 0.2, 2)) AS hm FROM range(121))"
+_HCELL = "hcell AS (SELECT n_nationkey AS cell_idx, 28.031 + n_nationkey * 0.037 AS lat, 79.61 + n_nationkey * 0.031 AS lon FROM nation)"
 _HORIZON_SQL = f"""WITH {_DEM}, {_HCELL},
-h0 AS (SELECT cell_idx, hm, radians(lat) AS la, radians(plat) AS lb, radians(plon - lon) AS dl FROM hcell, dem),
+ax AS (SELECT cell_idx, coalesce((SELECT min(plat) FROM dem WHERE plat >= lat), (SELECT max(plat) FROM dem)) AS ra,
+  coalesce((SELECT min(plon) FROM dem WHERE plon >= lon), (SELECT max(plon) FROM dem)) AS ro FROM hcell),
+base AS (SELECT cell_idx, hm AS h_own FROM ax JOIN dem ON plat = ra AND plon = ro),
+h0 AS (SELECT cell_idx, hm - h_own AS hm, radians(lat) AS la, radians(plat) AS lb, radians(plon - lon) AS dl FROM hcell JOIN base USING (cell_idx), dem),
 h1 AS (SELECT *, 2 * {terrain.EARTH_M!r} * asin(sqrt(least(1.0, pow(sin((lb - la) / 2), 2) + cos(la) * cos(lb) * pow(sin(dl / 2), 2)))) AS d,
   degrees(atan2(sin(dl) * cos(lb), cos(la) * sin(lb) - sin(la) * cos(lb) * cos(dl))) AS az0 FROM h0),
 h2 AS (SELECT cell_idx, d, CASE WHEN az0 < 0 THEN az0 + 360 ELSE az0 END AS az, degrees(atan2(hm - d * d / (2 * {terrain.EARTH_M!r}), d)) AS ang FROM h1 WHERE d > 1 AND d <= 60000),
@@ -283,9 +289,10 @@ def _horizon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     grid = spark.range(121).select((28.0 + 0.1 * F.floor(i / 11)).alias("lat_deg"), (79.5 + 0.1 * (i % 11)).alias("lon_deg"))
     k = F.col("n_nationkey")
     places = _t(spark, sf_dir, "nation").select(
-        k.cast("long").alias("cell_idx"), (28.03 + k * 0.037).alias("lat_deg"), (79.61 + k * 0.031).alias("lon_deg")
+        k.cast("long").alias("cell_idx"), (28.031 + k * 0.037).alias("lat_deg"), (79.61 + k * 0.031).alias("lon_deg")
     )
-    return places, terrain.horizon(places, terrain.ridge(grid, 28.5, 5000.0, 0.2), 60.0, 8)
+    ground = terrain.ridge(grid, 28.5, 5000.0, 0.2).withColumn("height_m", 900.0 + 40.0 * F.round((F.col("lon_deg") - 79.5) * 10) + F.col("height_m"))
+    return places, terrain.horizon(places, ground, 60.0, 8)
 
 
 @_query(f"{_HORIZON_SQL} SELECT CAST(cell_idx AS BIGINT) AS cell_idx, az_bin, round(mask, 6) AS mask_deg FROM hz")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satspan.functions.orbit import mean_from_true, mean_motion, two_pi
 
 PLATFORM, ANTENNA, CONTAINS = 11, 40, 4
+LISTS = ("entities", "relationships", "intents")
 
 SCHEMA = """
 entities ARRAY<STRUCT<id STRING, kind INT,
@@ -23,17 +25,30 @@ intents ARRAY<STRUCT<id STRING, state STRING, route STRUCT<path_segments ARRAY<S
 
 
 class EntityStore:
-    """A read-only snapshot: each list is a DataFrame."""
+    """A read-only snapshot: each list is a DataFrame. ``path`` is one JSON document
+    with the three lists; ``recorded`` reads the folder that ``record`` wrote."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.document = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+        document = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+        self._lists = {k: document.select(F.explode(k).alias("x")).select("x.*") for k in LISTS}
+
+    @classmethod
+    def of(cls, entities: DataFrame, relationships: DataFrame, intents: DataFrame) -> EntityStore:
+        store = cls.__new__(cls)
+        store._lists = dict(zip(LISTS, (entities, relationships, intents)))
+        return store
+
+    @classmethod
+    def recorded(cls, spark: SparkSession, path: str) -> EntityStore:
+        schema = spark.createDataFrame([], SCHEMA).schema
+        return cls.of(*[spark.read.schema(schema[k].dataType.elementType).json(f"{path}/{k}") for k in LISTS])
 
     def list_entities(self, kind: int | None = None) -> DataFrame:
-        rows = self.document.select(F.explode("entities").alias("e")).select("e.*")
+        rows = self._lists["entities"]
         return rows if kind is None else rows.where(F.col("kind") == kind)
 
     def list_relationships(self, condition: str | None = None) -> DataFrame:
-        rows = self.document.select(F.explode("relationships").alias("r")).select("r.*")
+        rows = self._lists["relationships"]
         return rows if condition is None else rows.where(condition)
 
     def get_entity(self, entity_id: str) -> DataFrame:
@@ -43,7 +58,7 @@ class EntityStore:
         return found
 
     def list_intents(self, states: list[str] | None = None) -> DataFrame:
-        rows = self.document.select(F.explode("intents").alias("i")).select("i.*")
+        rows = self._lists["intents"]
         return rows if states is None else rows.where(F.col("state").isin(states))
 
 
@@ -85,4 +100,53 @@ def hops(intents: DataFrame) -> DataFrame:
     return intents.select("id", "state", F.posexplode("route.path_segments").alias("hop", "s")).select("id", "state", "hop", "s.*")
 
 
-__all__ = ["EntityStore", "antennas", "elements", "hops", "verdicts"]
+def antenna_facts(store: EntityStore) -> DataFrame:
+    """The flattened antenna documents."""
+    return store.list_entities(ANTENNA).where(F.col("antenna").isNotNull()).select("id", "antenna.*")
+
+
+def inventory(store: EntityStore) -> DataFrame:
+    """One row: entities, platforms and antennas, platforms by verdict, installed
+    intents, and whether any platform can be propagated."""
+    kinds = store.list_entities().agg(
+        F.count("*").alias("n_entities"), F.count_if(F.col("kind") == PLATFORM).alias("n_platforms"), F.count_if(F.col("kind") == ANTENNA).alias("n_antennas")
+    )
+    reason = F.col("skip_reason")
+    motion = verdicts(store).agg(
+        F.count_if(reason.isNull()).alias("n_served"), F.count_if(reason == "external system").alias("n_external"),
+        F.count_if(reason == "non-keplerian motion").alias("n_other"),
+    )
+    intents = store.list_intents(["INSTALLED"]).agg(F.count("*").alias("n_intents"))
+    return kinds.crossJoin(motion).crossJoin(intents).withColumn("passed", F.col("n_served") > 0)  # one row each
+
+
+def record(store: EntityStore, path: str, states: list[str] | None = None) -> None:
+    """Write a snapshot of what the engine uses, a folder of JSON lines per list;
+    ``EntityStore.recorded`` reads it."""
+    for name, rows in zip(LISTS, (store.list_entities(), store.list_relationships(), store.list_intents(states))):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def dump(store: EntityStore, path: str) -> DataFrame:
+    """Write the entities in a folder per kind; returns the manifest (kind, rows
+    and bytes, and the totals as a row without a kind)."""
+    rows = store.list_entities().withColumn("document", F.to_json(F.struct("*"))).select("kind", "id", "document")
+    rows.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return rows.rollup("kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("document")).alias("n_bytes"))
+
+
+def first_source(*sources) -> DataFrame:
+    """The rows of the first source (a function without arguments) that answers;
+    the last one's error if none does."""
+    for k, source in enumerate(sources):
+        try:
+            found = source()
+            found.isEmpty()
+            return found
+        except (LookupError, ValueError, OSError, PySparkException):
+            if k + 1 == len(sources):
+                raise
+    raise ValueError("no source was given")
+
+
+__all__ = ["EntityStore", "antenna_facts", "antennas", "dump", "elements", "first_source", "hops", "inventory", "record", "verdicts"]
