@@ -37,11 +37,12 @@ def summary(rows: DataFrame, group: str, target: float, ks: tuple[int, ...] = (1
     return rows.groupBy(group).agg(*aggs)
 
 
-def k_values(ks: list[int] | None = None, default_k: int = 2) -> tuple[int, ...]:
-    """The k values of a run, sorted and without repeats: those given, and the
-    default one; without any, 1 and 2."""
-    wanted = {*(ks or ()), *([default_k] if ks is None and default_k not in (1, 2) else [])}
-    return tuple(sorted(wanted or {1, 2}))
+def k_values(ks: list[int] | None = None, default_k: int | None = None) -> tuple[int, ...]:
+    """The k values of a run: those given, sorted and without repeats; else the
+    default one; else 1 and 2."""
+    if ks is not None:
+        return tuple(sorted(set(ks)))
+    return (1, 2) if default_k is None else (default_k,)
 
 
 def availability_summary(rows: DataFrame, k: int = 1) -> DataFrame:
