@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from satspan.llm.common import BROADCAST_IDS, filter_by_ids, materialize
+from satspan.llm.common import BROADCAST_IDS, global_rank, materialize
 from satspan.llm.components import components
 from satspan.llm.textbytes import U, mix, pieces, shingle_sets
 
@@ -156,13 +156,13 @@ def _likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets_of(docs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """``classes(set_key, doc_id, ...)`` with the items of each class, found again
-    in the text of one of its documents."""
+    in the text of one of its documents. The classes are broadcast if counted few."""
     classes = materialize(classes, f"{label}-wanted")
-    wanted = filter_by_ids(docs.select("doc_id", "text"), classes.select("doc_id").distinct(), "left_semi").select("text")
-    sets = wanted.mapInArrow(_sets, "set_key string, items array<long>")
-    few = classes.count() <= BROADCAST_CLASSES
-    held = sets.join(F.broadcast(classes) if few else classes, "set_key")  # an id may have other texts too
-    return materialize(held.dropDuplicates(["set_key"]), label)
+    some = F.broadcast if classes.count() <= BROADCAST_CLASSES else (lambda df: df)
+    texts = docs.select("doc_id", "text").join(some(classes.select("doc_id")), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets, "set_key string, items array<long>")
+    # An id may have other texts too, and a text several rows.
+    return materialize(sets.join(some(classes), "set_key").dropDuplicates(["set_key"]), label)
 
 
 def _checked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
@@ -213,6 +213,20 @@ def _rare_pairs(docs: DataFrame, open_: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(reps: DataFrame) -> tuple[DataFrame, bool]:
+    """The classes with a number ``id`` in the order of ``doc_id``, and whether it is
+    the document id itself (whole numbers, each of one class).
+
+    The order matters: a bucket's leader is its least number, and early documents
+    are likelier to be the texts that others were copied from.
+    """
+    whole = dict(reps.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    if whole and reps.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return reps.withColumn("id", F.col("doc_id").cast("long")), True
+    ranked = global_rank(reps, ["doc_id", "set_key"], "setsketch-order")
+    return ranked.withColumnRenamed("rank", "id").drop("n_rows"), False
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_key (a hash of the text), n_shingles, class_id (least
     id with an equal set), component_id (least id reachable; the row's own for an
@@ -229,9 +243,9 @@ def links(docs: DataFrame) -> DataFrame:
     reps = (
         rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
         .agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "levels")).alias("r"))
-        .select("set_key", "r.*", F.monotonically_increasing_id().alias("id"))
+        .select("set_key", "r.*")
     )
-    reps = materialize(reps, "setsketch-classes")
+    reps, plain = _numbered(materialize(reps, "setsketch-classes"))
     bands = reps.select("id", "n", "levels").mapInPandas(_banded, "band long, id long, n long")
     shared = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     crowded = materialize(bands.join(shared.select("band", "leader"), "band"), "setsketch-buckets")
@@ -247,8 +261,11 @@ def links(docs: DataFrame) -> DataFrame:
     more = _checked(docs, reps, across, "setsketch-across")
     joined = components(found.union(more))
     classes = reps.select("set_key", F.col("doc_id").alias("class_id"), "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "component").select("set_key", "class_id", "component_id", "component")
+    if plain:
+        classes = classes.withColumn("component_id", F.col("component").cast(kind))
+    else:
+        classes = classes.join(reps.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    classes = classes.select("set_key", "class_id", "component_id", "component")
     known = F.when(F.col("doc_id").isNotNull(), F.col("set_key"))
     many = rows.select("doc_id", "text_key", "n_shingles", known.alias("set_key")).join(classes, "set_key", "left")
     return many.select("doc_id", "text_key", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
