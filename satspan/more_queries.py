@@ -253,17 +253,10 @@ def continuity_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(avg(CAST(feasible AS INT)), 9) AS feasible_share FROM per JOIN mbb USING (cell_idx)"""
 )
 def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = coverage_plan.run_coverage(
-        base.cells(spark, sf_dir), base.satellites(spark, sf_dir), N_TIME, STEP_S, [MASK + 5, MASK], coverage.k_values([2, 1, 1]), overlap_s=0.0
-    )
-    strict = continuity.continuity_map(base.cells(spark, sf_dir), base._access(spark, sf_dir), N_TIME, 1.0, 0.0)
-    rows = rows.drop("mbb_feasible").join(strict.select("cell_idx"), "cell_idx").join(
-        continuity.handover(continuity.intervals(base._access(spark, sf_dir), ["cell_idx", "sat_idx"]), N_TIME, 2, cells=base.cells(spark, sf_dir)).select(
-            "cell_idx", F.col("feasible").alias("mbb_feasible")
-        ),
-        "cell_idx",
-    )
-    out = coverage.availability_summary(rows)
+    places = base.cells(spark, sf_dir)
+    rows = coverage_plan.run_coverage(places, base.satellites(spark, sf_dir), N_TIME, STEP_S, [MASK + 5, MASK], coverage.k_values([2, 1, 1]))
+    chains = continuity.handover(continuity.intervals(base._access(spark, sf_dir), ["cell_idx", "sat_idx"]), N_TIME, 2, cells=places)
+    out = coverage.availability_summary(rows.join(chains.select("cell_idx", F.col("feasible").alias("mbb_feasible")), "cell_idx"))
     return out.select("n_cells", *[F.round(c, 9).alias(c) for c in out.columns if c != "n_cells"])
 
 
