@@ -252,3 +252,15 @@ def test_stages_and_run(spark, tmp_path):
     ids = {r["doc_id"] for r in rows}
     assert 25 <= len(ids) and 3 not in ids and 11 not in ids and max(Counter(r["doc_id"] for r in rows).values()) <= 2
     assert sorted(r["rank"] for r in rows) == list(range(len(rows)))
+    given = {r["doc_id"]: r for r in docs.collect()}
+    assert all(r["text"] == given[r["doc_id"]]["text"] and r["key"] == "k" and r["words"] == "z" for r in rows)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = "file://" + str(tmp_path)
+    empty(spark).write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() == 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)

@@ -129,6 +129,34 @@ def test_sharding_is_even_and_gapless(spark, n):
     assert hilbert_sharding.plan(empty(spark)).count() == 0
 
 
+def test_equal_texts_stay_together(spark):
+    import itertools
+    import random
+
+    r = random.Random(11)
+    rows = [(i, t, r.choice(["en", "de", None]), f"s{r.randrange(9)}", "x") for i, t in enumerate(
+        [prose(k % 150, 3 + k % 40) for k in range(700)] + ["one hot text"] * 160 + [None, ""] * 4
+    )]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard string")
+    out = hilbert_sharding.plan(docs, carry=True).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in out) == sorted(x[:2] for x in rows)
+    counts = Counter(x["shard"] for x in out)
+    assert len(counts) == 40 and max(counts.values()) - min(counts.values()) <= 1
+    # by brute force: copies follow each other, and cuts split a text only where they must
+    ordered = [x["text"] or "" for x in sorted(out, key=lambda x: x["rank"])]
+    assert len([k for k, _ in itertools.groupby(ordered)]) == len(set(ordered))
+    shards_of = {}
+    for x in out:
+        shards_of.setdefault(x["text"] or "", set()).add(x["shard"])
+    split = sum(len(s) - 1 for s in shards_of.values())
+    starts = {k for k in range(1, len(ordered)) if ordered[k] != ordered[k - 1]}
+    least, big = divmod(len(ordered), 40)
+    best = {0: 0}
+    for j in range(1, 40):
+        best = {k: max(best[m] for m in (k, k - 1) if m in best) + (j * least + k in starts) for k in range(0, big + 1) if (k in best or k - 1 in best) and big - k <= 40 - j}
+    assert split == 39 - max(best.values()) and split <= 39
+
+
 def test_rows_without_an_id(spark):
     from satspan.llm import license_index, secret_crf, setsketch_dedup
 
