@@ -4,6 +4,13 @@ Every stage takes the documents that the one before kept, and its decisions take
 effect: rows go, or are repeated, and the last stage places each remaining row
 in a shard.  Stages are written to the shared folder and read again, so a lost
 executor repeats part of one stage at most.
+
+Defined results: null and empty texts fail the quality rules; rows with one id are
+told apart by their text; of near-duplicates the smallest id stays, and rows
+without an id are no duplicates; without benchmark items nothing is
+contaminated; an empty table gives an empty result with all columns; other columns of the documents, whatever their names, are
+carried to the end, where the shard's own columns come last and go before those of
+the same name.
 """
 
 from __future__ import annotations
@@ -41,8 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row gets its shard and its slot there."""
-    return hilbert_sharding.plan(docs)
+    """Each row, whole, gets its shard and its slot there."""
+    return hilbert_sharding.plan(docs, carry=True)
 
 
 STAGES = [
