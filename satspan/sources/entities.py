@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from satspan.functions.orbit import mean_from_true, mean_motion, two_pi
@@ -149,4 +149,42 @@ def first_source(*sources) -> DataFrame:
     raise ValueError("no source was given")
 
 
-__all__ = ["EntityStore", "antenna_facts", "antennas", "dump", "elements", "first_source", "hops", "inventory", "record", "verdicts"]
+
+#: The parts of an entity of which one is set, and kinds of relationships by name.
+ARMS = ("platform", "antenna")
+KINDS = {CONTAINS: "contains"}
+
+
+def _grouped(store: EntityStore) -> DataFrame:
+    """group and document of everything in the store: entities by the part that is
+    set, relationships by kind, intents by whether they have a route."""
+    arm = F.coalesce(*[F.when(F.col(a).isNotNull(), F.lit(f"entities_{a}")) for a in ARMS], F.lit("entities_unset"))
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(f"relationships_{n}")) for k, n in KINDS.items()], F.lit("relationships_other"))
+    route = F.when(F.col("route").isNotNull(), "intents_route").otherwise("intents_unset")
+    lists = ((store.list_entities(), arm), (store.list_relationships(), kind), (store.list_intents(), route))
+    rows = [x.select(group.alias("group"), F.to_json(F.struct("*")).alias("document")) for x, group in lists]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def groups() -> list[str]:
+    """All groups of a dump, known from the schema."""
+    entities_ = [f"entities_{a}" for a in (*ARMS, "unset")]
+    return [*entities_, *[f"relationships_{n}" for n in (*KINDS.values(), "other")], "intents_route", "intents_unset"]
+
+
+def grouped_dump(store: EntityStore, path: str) -> DataFrame:
+    """Write the store as text, a document a line, in a folder per group; returns the
+    manifest (group, n, n_bytes, and the totals as a row without a group).
+
+    The counts are gathered by the write itself (``observe``), so the store is read
+    once and the manifest says what was written."""
+    names = groups()
+    mine = [F.col("group") == g for g in names]
+    size = F.octet_length("document") + 1  # and the line's end
+    sums = [F.count_if(m).alias(f"n{k}") for k, m in enumerate(mine)] + [F.sum(F.when(m, size)).alias(f"b{k}") for k, m in enumerate(mine)]
+    seen = Observation()
+    _grouped(store).observe(seen, *sums).write.mode("overwrite").partitionBy("group").text(path)
+    found = seen.get
+    rows = [(g, found[f"n{k}"], found[f"b{k}"] or 0) for k, g in enumerate(names) if found[f"n{k}"]]
+    total = (None, sum(r[1] for r in rows), sum(r[2] for r in rows))
+    return store.list_entities().sparkSession.createDataFrame([*rows, total], "group string, n long, n_bytes long")
