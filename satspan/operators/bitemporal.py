@@ -41,6 +41,35 @@ def changes(versions: DataFrame, from_us: int, to_us: int, entity: str = "entity
     return inside.unionByName(first)
 
 
+def smallest_window(rows: DataFrame, group: str, committed: str, windows_s: list[int], now_us: int, sample: str = "id") -> DataFrame:
+    """Per group the smallest window before ``now_us`` that holds a commit, the rows
+    in it and the least ``sample`` among them; nulls and 0 where even the largest
+    holds none.
+
+    The ages are counted into all windows at once (partial counts that add up), so
+    no window is probed by a scan of its own.
+    """
+    sizes = sorted(windows_s)
+    age = F.lit(now_us) - F.col(committed)
+    inside = lambda w: (age >= 0) & (age <= w * 1_000_000)
+    aggs = [F.count_if(inside(w)).alias(f"n{w}") for w in sizes] + [F.min(F.when(inside(w), F.col(sample))).alias(f"s{w}") for w in sizes]
+    counted = rows.groupBy(group).agg(*aggs)
+
+    def first(value):
+        return F.coalesce(*[F.when(F.col(f"n{w}") > 0, value(w)) for w in sizes])
+
+    return counted.select(
+        group, first(lambda w: F.lit(w)).cast("long").alias("window_s"),
+        F.coalesce(first(lambda w: F.col(f"n{w}")), F.lit(0)).alias("n"), first(lambda w: F.col(f"s{w}")).alias("sample"),
+    )
+
+
+def read_windows(rows: DataFrame, chosen: DataFrame, group: str, committed: str, now_us: int) -> DataFrame:
+    """The rows of each group's chosen window (a row for each group)."""
+    age = F.lit(now_us) - F.col(committed)
+    return rows.join(chosen.select(group, "window_s"), group).where((age >= 0) & (age <= F.col("window_s") * 1_000_000)).drop("window_s")
+
+
 class _Versions(StatefulProcessor):
     """The last version known at the commit time, by valid time."""
 
