@@ -46,19 +46,39 @@ def cells_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@_query("SELECT range AS cell_idx, round(10 + (range // 41) * 0.5::DOUBLE, 6) AS lat_deg, round(70 + (range % 41) * 0.5::DOUBLE, 6) AS lon_deg FROM range(861)")
+@_query(
+    f"""WITH {base._CELLS}, b AS (SELECT floor(min(lat)) AS s, floor(min(lon)) AS w, CAST(floor((ceil(max(lat)) - floor(min(lat))) / 2.5 + 1e-9) AS BIGINT) + 1 AS rows, CAST(floor((ceil(max(lon)) - floor(min(lon))) / 2.5 + 1e-9) AS BIGINT) + 1 AS wide FROM cell),
+    g AS (SELECT r.range * wide + p.range AS cell_idx, s + r.range * 2.5 AS lat_deg, w + p.range * 2.5 AS lon_deg FROM b, range(200) r, range(200) p WHERE r.range < rows AND p.range < wide),
+    n AS (SELECT CAST(floor((lat - s) / 2.5) AS BIGINT) * wide + CAST(floor((lon - w) / 2.5) AS BIGINT) AS cell_idx, count(*) AS n FROM cell, b GROUP BY 1)
+    SELECT cell_idx, round(lat_deg, 6) AS lat_deg, round(lon_deg, 6) AS lon_deg, coalesce(n, 0) AS n_points FROM g LEFT JOIN n USING (cell_idx)"""
+)
 def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.latlon_grid(spark, 10.0, 20.0, 70.0, 90.0, 0.5).select("cell_idx", F.round("lat_deg", 6).alias("lat_deg"), F.round("lon_deg", 6).alias("lon_deg"))
+    """The grid over the box of all places, and the places in each cell."""
+    places, step = base.cells(spark, sf_dir), 2.5
+    low = lambda c: F.floor(F.min(c)).cast("double").alias(f"low_{c}")
+    high = lambda c: F.ceil(F.max(c)).cast("double").alias(f"high_{c}")
+    box = places.agg(low("lat_deg"), high("lat_deg"), low("lon_deg"), high("lon_deg")).first()
+    made = grid.latlon_grid(spark, *box, step)
+    wide = int((box[3] - box[2]) / step + 1e-9) + 1
+    at = F.floor((F.col("lat_deg") - box[0]) / step) * wide + F.floor((F.col("lon_deg") - box[2]) / step)
+    held = places.groupBy(at.alias("cell_idx")).agg(F.count("*").alias("n"))
+    return made.join(held, "cell_idx", "left").select("cell_idx", F.round("lat_deg", 6).alias("lat_deg"), F.round("lon_deg", 6).alias("lon_deg"), F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
 @_query(
-    """WITH c AS (SELECT a.range AS r, b.range AS p FROM range(50, 61) a, range(0, 144) b WHERE b.range >= 140 OR b.range <= 4)
-    SELECT row_number() OVER (ORDER BY r, p) - 1 AS cell_idx, format('c{:05d}-{:05d}', r, p) AS cell_id, -90 + (r + 0.5) * 2.5::DOUBLE AS lat_deg, -180 + (p + 0.5) * 2.5::DOUBLE AS lon_deg,
-      format('c{:05d}-{:05d}', r // 4, p // 4) AS shard_id FROM c"""
+    f"""WITH {base._CELLS}, c AS (SELECT a.range AS r, b.range AS p FROM range(50, 61) a, range(0, 144) b WHERE b.range >= 140 OR b.range <= 4),
+    g AS (SELECT row_number() OVER (ORDER BY r, p) - 1 AS cell_idx, r, p FROM c),
+    n AS (SELECT CAST(floor((lat + 90) / 2.5) AS BIGINT) AS r, CAST(floor((lon + 180) / 2.5) AS BIGINT) AS p, count(*) AS n FROM cell GROUP BY 1, 2)
+    SELECT cell_idx, format('c{{:05d}}-{{:05d}}', r, p) AS cell_id, -90 + (r + 0.5) * 2.5::DOUBLE AS lat_deg, -180 + (p + 0.5) * 2.5::DOUBLE AS lon_deg,
+      format('c{{:05d}}-{{:05d}}', r // 4, p // 4) AS shard_id, coalesce(n, 0) AS n_points FROM g LEFT JOIN n USING (r, p)"""
 )
 def date_line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid.area_cells(spark, (35.0, 60.0, 170.0, -168.0), 2.5)
-    return grid.shards(cells, 10.0, 2.5).select("cell_idx", "cell_id", "lat_deg", "lon_deg", "shard_id")
+    """Cells of a box across the date line, and the places in each."""
+    size = 2.5
+    cells = grid.shards(grid.area_cells(spark, (35.0, 60.0, 170.0, -168.0), size), 10.0, size)
+    row, place = F.floor((F.col("lat_deg") + 90) / size), F.floor((F.col("lon_deg") + 180) / size)
+    held = base.cells(spark, sf_dir).groupBy(grid.cell_columns(row, place, size)["cell_id"].alias("cell_id")).agg(F.count("*").alias("n"))
+    return cells.join(held, "cell_id", "left").select("cell_idx", "cell_id", "lat_deg", "lon_deg", "shard_id", F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
 #: A country of two polygons, one with a hole: rings of longitude and latitude.
@@ -96,10 +116,13 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.shards(base.cells(spark, sf_dir), 15.0, 1.0).groupBy("shard_id").agg(F.count("*").alias("n_cells"))
 
 
-@_query("SELECT range AS cell_idx, round((range % 7 + 1) / 2.0::DOUBLE * sqrt(2), 9) AS radius_deg, CAST(ceil((range + 1) * 7.0 / (range % 3 + 1)) AS BIGINT) AS n_steps FROM range(20)")
+@_query("SELECT p_partkey, round((p_size % 7 + 1) / 2.0::DOUBLE * sqrt(2), 9) AS radius_deg, CAST(ceil(p_retailprice / (p_size % 3 + 1) - 1e-9) AS BIGINT) AS n_steps FROM part")
 def cell_radii_and_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, round(grid.cell_radius_deg(i % 7 + 1), 9), grid.steps_of((i + 1) * 7.0, i % 3 + 1)) for i in range(20)]
-    return spark.createDataFrame(rows, "cell_idx long, radius_deg double, n_steps long")
+    """Cells of a part's size and steps of its price."""
+    size = F.col("p_size")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", F.round(grid.cell_radius_deg(size % 7 + 1), 9).alias("radius_deg"), grid.steps_of(F.col("p_retailprice"), size % 3 + 1).alias("n_steps")
+    )
 
 
 # Constellations ------------------------------------------------------------------
@@ -109,28 +132,37 @@ _SHELLS = "VALUES " + ", ".join(f"('{name}', {k}, {t}, {p}, {f}, {alt}::DOUBLE,
 
 @_query(
     f"""WITH shell(preset, k, t, p, f, alt, inc) AS ({_SHELLS})
-    SELECT preset, CAST(sum(t) AS BIGINT) AS n_sats, CAST(sum(p) AS BIGINT) AS n_planes, round(sum(t * alt) / sum(t), 6) AS mean_altitude_km, round(sum(t * inc) / sum(t), 6) AS mean_inclination_deg,
-      round(max(alt), 6) AS max_altitude_km FROM shell GROUP BY preset"""
+    SELECT n_nationkey, preset, n_sats, n_planes, mean_altitude_km, mean_inclination_deg, max_altitude_km, min_mask_deg FROM (
+      SELECT preset, CAST(sum(t) AS BIGINT) AS n_sats, CAST(sum(p) AS BIGINT) AS n_planes, round(sum(t * alt) / sum(t), 6) AS mean_altitude_km, round(sum(t * inc) / sum(t), 6) AS mean_inclination_deg,
+      round(max(alt), 6) AS max_altitude_km FROM shell GROUP BY preset) JOIN (SELECT n_nationkey, list_extract({[*constellation.PRESETS]!r}, n_nationkey % {len(constellation.PRESETS)} + 1) AS preset,
+      (SELECT min(s_suppkey % 20 + 5) FROM supplier WHERE s_nationkey = n_nationkey)::DOUBLE AS min_mask_deg FROM nation) USING (preset)"""
 )
 def preset_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preset that each nation flies, and the smallest mask of its stations."""
     out = None
     for name in constellation.PRESETS:
         sats = constellation.preset(spark, name)
-        one = constellation.facts(sats).crossJoin(constellation.bounds(sats)).select(
+        one = constellation.facts(sats).crossJoin(constellation.bounds(sats).drop("min_mask_deg")).select(
             F.lit(name).alias("preset"), "n_sats", "n_planes", *[F.round(c, 6).alias(c) for c in ("mean_altitude_km", "mean_inclination_deg", "max_altitude_km")]
         )
         out = one if out is None else out.unionByName(one)
-    return out
+    names = F.array(*[F.lit(x) for x in constellation.PRESETS])
+    flown = _t(spark, sf_dir, "nation").select("n_nationkey", F.element_at(names, F.col("n_nationkey") % len(constellation.PRESETS) + 1).alias("preset"))
+    masks = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min(F.col("s_suppkey") % 20 + 5).cast("double").alias("min_mask_deg"))
+    return flown.join(F.broadcast(out), "preset").join(masks, "n_nationkey", "left")  # a row for each preset
 
 
 @_query(
-    """WITH s AS (SELECT range AS i, range // 8 AS p, range % 8 AS s FROM range(48)),
-    a AS (SELECT i, p, s, radians(10 + p * 360.0 / 6) AS r, radians(5 + s * 360.0 / 8 + p * 360.0 / 48) AS m FROM s)
-    SELECT i AS sat_idx, format('w-P{:02d}-S{:02d}', p, s) AS sat_id, round(r - 2 * pi() * floor(r / (2 * pi())), 9) AS raan_rad, round(m - 2 * pi() * floor(m / (2 * pi())), 9) AS m_rad FROM a"""
+    f"""WITH n AS (SELECT count(*) AS t FROM supplier), s AS (SELECT s_suppkey AS i, t, s_suppkey // (t // {PLANES}) AS p, s_suppkey % (t // {PLANES}) AS s FROM supplier, n),
+    a AS (SELECT i, p, s, radians(10 + p * 360.0 / {PLANES}) AS r, radians(5 + s * 360.0 / (t // {PLANES}) + p * 360.0 / t) AS m FROM s)
+    SELECT i AS sat_idx, p AS plane_uid, s AS slot_id, round(r - 2 * pi() * floor(r / (2 * pi())), 9) AS raan_rad, round(m - 2 * pi() * floor(m / (2 * pi())), 9) AS m_rad FROM a"""
 )
 def offset_walker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sats = constellation.walker(spark, 48, 6, 1, 550.0, 53.0, "w", 10.0, 5.0)
-    return sats.select("sat_idx", "sat_id", F.round("raan_rad", 9).alias("raan_rad"), F.round("m_rad", 9).alias("m_rad"))
+    """Suppliers as one shell whose first plane and slot lie 10 and 5 degrees on."""
+    suppliers = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sat_idx"))
+    rows = suppliers.crossJoin(F.broadcast(suppliers.agg(F.count("*").alias("n"))))  # one row
+    angles = constellation.walker_angles(F.col("sat_idx"), F.col("n"), F.lit(PLANES), F.lit(1), F.lit(10.0), F.lit(5.0))
+    return rows.withColumns(angles).select("sat_idx", "plane_uid", "slot_id", F.round("raan_rad", 9).alias("raan_rad"), F.round("m_rad", 9).alias("m_rad"))
 
 
 @_query(
@@ -184,13 +216,13 @@ def mean_from_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH h AS (SELECT 400 + 50 * range AS alt, 5 + range % 30 AS mask FROM range(40))
-    SELECT CAST(alt AS BIGINT) AS alt, CAST(mask AS BIGINT) AS mask,
-      round(90 - mask - degrees(asin({orbit.RE!r} / ({orbit.RE!r} + alt) * cos(radians(mask)))) + 0.6 + {orbit.RE!r} * sqrt({orbit.MU!r} / pow({orbit.RE!r} + alt, 3)) * 30 / 111.195::DOUBLE + 0.3, 9) AS radius_deg FROM h"""
+    f"""WITH h AS (SELECT p_partkey, 400 + p_retailprice AS alt, 5 + p_size % 30 AS mask FROM part)
+    SELECT p_partkey, round(90 - mask - degrees(asin({orbit.RE!r} / ({orbit.RE!r} + alt) * cos(radians(mask)))) + 0.6 + {orbit.RE!r} * sqrt({orbit.MU!r} / pow({orbit.RE!r} + alt, 3)) * 30 / 111.195::DOUBLE + 0.3, 9) AS radius_deg FROM h"""
 )
 def search_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(400 + 50 * i, 5 + i % 30, round(access.dilation_deg(400.0 + 50 * i, 5.0 + i % 30, 0.6, 60.0), 9)) for i in range(40)]
-    return spark.createDataFrame(rows, "alt long, mask long, radius_deg double")
+    """The search circle at an altitude of a part's price and a mask of its size."""
+    radius = access.dilation_of(F.col("p_retailprice") + 400, (F.col("p_size") % 30 + 5).cast("double"), 0.6, 60.0)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(radius, 9).alias("radius_deg"))
 
 
 @_query("SELECT c_custkey, round((10 + 5 - (c_custkey % 7) * 0.5::DOUBLE) / 0.5, 1) AS crossing_s, CAST(11 AS BIGINT) AS n_halvings FROM customer")
@@ -265,11 +297,6 @@ def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 INCLINATIONS, SIZES, TARGET, GRADE = (45.0, 60.0), (40, 80), base.TARGET, base.GRADE
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth place: the number of cells is that of the sweep's question."""
-    return base.cells(spark, sf_dir).where("cell_idx % 10 = 0")
-
-
 def _candidate_sql(rows: list[tuple[int, int, float]], overlap: int | None) -> str:
     cand = "VALUES " + ", ".join(f"({n}, {p}, {i}::DOUBLE)" for n, p, i in rows)
     a = orbit.RE + base.ALTITUDE
@@ -284,7 +311,7 @@ ch AS (SELECT {key}, cell_idx, sat_idx, e, {N_TIME} AS w FROM iv WHERE s <= 0 UN
 ok AS (SELECT DISTINCT {key}, cell_idx, true AS feasible FROM ch WHERE e >= {N_TIME - 1})""" if overlap else ""
     join, pct = (f"LEFT JOIN ok USING ({key}, cell_idx)", "round(avg(CASE WHEN feasible THEN 1.0 ELSE 0.0 END), 6)") if overlap else ("", "NULL::DOUBLE")
     return f"""WITH RECURSIVE cand(n_sats, planes, inc) AS ({cand}), {base._CELLS.strip()},
-smp AS (SELECT * FROM cell WHERE cell_idx % 10 = 0),
+smp AS (SELECT * FROM cell),
 sat0 AS (SELECT {key}, range AS sat_idx, range // (n_sats // planes) AS p, range % (n_sats // planes) AS s FROM cand, range({max(r[0] for r in rows)}) WHERE range < n_sats),
 sat1 AS (SELECT {key}, sat_idx, cos(radians(inc)) AS c, sin(radians(inc)) AS si, radians(p * 360.0 / planes) AS raan, radians(s * 360.0 / (n_sats // planes) + p * least(1, planes - 1) * 360.0 / n_sats) AS m FROM sat0),
 step AS (SELECT range AS t_idx, range * {STEP_S} AS t_s, ((2461041.5 + range * {STEP_S} / 86400.0) - 2451545.0) / 36525.0 AS jc FROM range({N_TIME})),
@@ -307,14 +334,14 @@ _BY_SHAPE = _candidate_sql([(p * s, p, 53.0) for p in (5, 10) for s in (6, 10)],
 
 def _inclination_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_plan.run_sweep(
-        spark, _cells(spark, sf_dir), sizes=SIZES, planes=(PLANES,), inclination_deg=INCLINATIONS, altitude_km=base.ALTITUDE, n_steps=N_TIME, step_s=STEP_S,
+        spark, base.cells(spark, sf_dir), sizes=SIZES, planes=(PLANES,), inclination_deg=INCLINATIONS, altitude_km=base.ALTITUDE, n_steps=N_TIME, step_s=STEP_S,
         target=TARGET, mask_deg=MASK, overlap_s=0.0, grade=GRADE,
     )[1]
 
 
 def _shape_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_plan.run_sweep(
-        spark, _cells(spark, sf_dir), planes=(5, 10), per_plane=(6, 10), inclination_deg=(53.0,), altitude_km=base.ALTITUDE, n_steps=N_TIME, step_s=STEP_S,
+        spark, base.cells(spark, sf_dir), planes=(5, 10), per_plane=(6, 10), inclination_deg=(53.0,), altitude_km=base.ALTITUDE, n_steps=N_TIME, step_s=STEP_S,
         target=TARGET, mask_deg=MASK,
     )[1]
 
@@ -380,13 +407,17 @@ def sweep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sweep_rows(coverage_plan.winner(rows, "passed", "n_sats", "planes"), "multi_shape")
 
 
-@_query("SELECT range AS i, CAST((range + 1) * 15000 * 60 AS BIGINT) AS work, round((range + 1) * 15000 * 60 / 1e7 * (1 + range % 2), 9) AS eta_s, round(48 + range * 0.1::DOUBLE, 1) AS inclination_deg FROM range(5)")
+@_query(
+    f"""WITH w AS (SELECT c_nationkey, count(*) AS n_cells FROM customer GROUP BY 1), i AS (SELECT unnest({coverage_plan.inclinations(48.0, 48.4, 0.01)!r}::DOUBLE[]) AS inclination_deg)
+    SELECT c_nationkey, inclination_deg, n_cells * 60 * (SELECT count(*) FROM supplier) AS work, round(n_cells * 60 * (SELECT count(*) FROM supplier) / 1e7 * 2, 9) AS eta_s FROM w, i"""
+)
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for i, inc in enumerate(coverage_plan.inclinations(48.0, 48.4, 0.01)):
-        work, eta = coverage_plan.workload(i + 1, 60, 15000, bool(i % 2))
-        rows.append((i, work, round(eta, 9), inc))
-    return spark.createDataFrame(rows, "i long, work long, eta_s double, inclination_deg double")
+    """The work of each nation's places at every inclination of a sweep with the gate."""
+    n_sats = _t(spark, sf_dir, "supplier").agg(F.count("*").alias("n_sats"))  # one row
+    rows = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_cells")).crossJoin(F.broadcast(n_sats))
+    work, eta = coverage_plan.workload(F.col("n_cells"), 60, F.col("n_sats"), True)
+    each = F.explode(F.array(*[F.lit(x) for x in coverage_plan.inclinations(48.0, 48.4, 0.01)]))
+    return rows.select("c_nationkey", each.alias("inclination_deg"), work.alias("work"), F.round(eta, 9).alias("eta_s"))
 
 
 # Snapshots -----------------------------------------------------------------------
@@ -647,7 +678,7 @@ def load_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """WITH s AS (SELECT s_suppkey AS i, s_suppkey // 10 AS p, s_suppkey % 10 AS sl FROM supplier WHERE s_suppkey < 40)
+    """WITH s AS (SELECT s_suppkey AS i, s_suppkey // 10 AS p, s_suppkey % 10 AS sl FROM supplier)
     SELECT 'satellite-' || (i + 1) || '-platform' AS id, 'id: "satellite-' || (i + 1) || '-platform" grid: 1200.' || (p + 1) || '.' || (sl + 1) || ' not 1200.1.15' AS body, 'SAT-' || (i + 1) || ' (' || (p + 1) || '.' || (sl + 1) || ')' AS name FROM s
     UNION ALL SELECT 'satellite-' || (i + 1) || '-antenna', 'b ' || 'satellite-' || (i + 1) || '-antenna', NULL FROM s"""
 )
@@ -656,7 +687,7 @@ def generated_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
         [('id: "satellite-1-platform" grid: 1200.1.1 not 1200.1.15', "satellite-1-platform"), ("b satellite-1-antenna", "satellite-1-antenna"), ("x", "oisl-1")], "body string, id string"
     )
     k = F.col("s_suppkey")
-    sats = _t(spark, sf_dir, "supplier").where(k < 40).select(
+    sats = _t(spark, sf_dir, "supplier").select(
         k.alias("sat_idx"), F.floor(k / 10).alias("plane_uid"), F.lit(7000.0).alias("a_km"), F.lit(0.0).alias("ecc"), F.lit(0.9).alias("inc_rad"), F.lit(0.1).alias("raan_rad"), F.lit(0.0).alias("argp_rad"), F.lit(0.5).alias("m_rad")
     )
     return model_plan.satellite_model(template, sats).select("id", "body", "name")

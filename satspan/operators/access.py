@@ -128,6 +128,14 @@ def dilation_deg(altitude_km: float, mask_deg: float, cell_radius_deg: float, st
     return orbit.cap_half_angle_deg(altitude_km, mask_deg) + cell_radius_deg + halo + MARGIN_DEG
 
 
+def dilation_of(altitude_km: Column, mask_deg: Column, cell_radius_deg: float, step_s: float) -> Column:
+    """The same for columns."""
+    r = F.lit(orbit.RE) + altitude_km
+    cap = F.lit(90.0) - mask_deg - F.degrees(F.asin(F.lit(orbit.RE) / r * F.cos(F.radians(mask_deg))))
+    halo = orbit.RE * F.sqrt(F.lit(orbit.MU) / (r * r * r)) * (step_s / 2 / KM_PER_DEG)
+    return cap + cell_radius_deg + halo + MARGIN_DEG
+
+
 def above_terrain(access: DataFrame, masks: DataFrame, mask_deg: float, n_bins: int) -> DataFrame:
     """The pairs whose elevation reaches the mask and the horizon of the azimuth
     bin; ``masks(cell_idx, az_bin, mask_deg)``, a bin without a row is open."""

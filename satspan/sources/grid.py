@@ -191,9 +191,10 @@ def time_steps(spark: SparkSession, n_steps: int, step_s: float, epoch_jd: float
     )
 
 
-def steps_of(duration_s: float, step_s: float) -> int:
-    """Steps of a half-open grid."""
-    return math.ceil(duration_s / step_s - 1e-9)
+def steps_of(duration_s: float | Column, step_s: float | Column) -> int | Column:
+    """Steps of a half-open grid, of numbers or of columns."""
+    n = duration_s / step_s - 1e-9
+    return F.ceil(n) if isinstance(n, Column) else math.ceil(n)
 
 
 def julian_day(unix_s: float) -> float:

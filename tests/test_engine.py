@@ -243,22 +243,3 @@ def test_search_radius_and_speed():
     assert access.ground_speed_km_s(650.0) == pytest.approx(6.83, abs=0.02)
     assert access.dilation_deg(650.0, 25.0, 0.5, 60.0) > orbit.cap_half_angle_deg(650.0, 25.0) + 0.8
     assert orbit.bisection_steps(60.0, 0.01) == math.ceil(math.log2(6000))
-
-
-@pytest.mark.skipif("CELL_CENTRES" not in os.environ, reason="CELL_CENTRES names no table of cell centres")
-def test_published_sweep(spark):
-    """The published sweep over 251 cells: 40 planes, 650 km, 48 degrees, 30 minutes
-    at 60 s, mask 25; the centres (a CSV table of cell_id, lat, lon) are a parameter."""
-    cells = files.read_cells(spark, os.environ["CELL_CENTRES"])
-    table = coverage_plan.sizes_of(spark, [200, 400, 600], 40, [48.0])
-    rows = {r.n_sats: r for r in coverage_plan.shape_sweep(cells, table, 650.0, 30, 60.0, 0.99).collect()}
-    # Share of cells at the target, mean availability, mean in view.
-    want = {
-        200: (0.015936, 0.0, 0.641301, 0.489641, 1.484993), 400: (0.764940, 0.398406, 0.977689, 0.915272, 2.968393), 600: (1.0, 1.0, None, None, 4.452324),
-    }
-    for n, (k1, k2, a1, a2, siv) in want.items():
-        r = rows[n]
-        assert (round(r.pct_k1, 6), round(r.pct_k2, 6)) == (k1, k2) and r.mean_sats_in_view == pytest.approx(siv, abs=5e-4)
-        assert a1 is None or (round(r.mean_avail_k1, 6), round(r.mean_avail_k2, 6)) == (a1, a2)
-    least = coverage_plan.smallest_by(coverage_plan.shape_sweep(cells, table, 650.0, 30, 60.0, 0.99), 0.95).first()
-    assert (least.min_n_k1, least.min_n_k2) == (600, 600)
