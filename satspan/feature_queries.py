@@ -9,13 +9,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from satspan import more_queries
 from satspan import queries as base
 from satspan.functions import orbit
-from satspan.operators import bitemporal, contacts, continuity
-from satspan.plans import model_plan
-from satspan.sources import blocks, entities, hexgrid, loading
+from satspan.operators import bitemporal, contacts, continuity, terrain
+from satspan.plans import coverage_plan, model_plan
+from satspan.sources import blocks, entities, files, hexgrid, loading
 from satspan.sources.shared import new_folder
-from satspan.streaming import stateful
+from satspan.streaming import rates, stateful
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -219,6 +220,89 @@ def network_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _network(spark, sf_dir)[1].select("a", "z", "body")
 
 
+# Tables written and read back ---------------------------------------------------------
+
+
+@_query(f"{base._SATS.replace('n AS', 'WITH n AS', 1)} SELECT 'sat-' || sat_idx AS sat_id, round({orbit.RE + base.ALTITUDE!r}, 6) AS a_km, round(raan, 9) AS raan_rad, round(m, 9) AS m_rad FROM sat")
+def elements_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements as CSV with a manifest, in the second run's file."""
+    sats, path = base.satellites(spark, sf_dir).withColumn("sat_id", F.concat(F.lit("sat-"), "sat_idx")), files.run_path(new_folder(spark, "elements") + ".csv", 2)
+    files.write_table(files.element_rows(sats), path, {"shell": "walker", "planes": base.PLANES})
+    return files.read_elements(spark, path).where("sat_id <> 'sat_id'").select("sat_id", F.round("a_km", 6).alias("a_km"), F.round("raan_rad", 9).alias("raan_rad"), F.round("M_rad", 9).alias("m_rad"))
+
+
+@_query(f"{base._COVERAGE} SELECT cell_idx, round(lat, 6) AS lat_deg, round(lon, 6) AS lon_deg, printf('%.6f', steps_k1 / {base.N_TIME}.0) AS availability FROM cov")
+def availability_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The availability of every cell through its CSV."""
+    path = new_folder(spark, "availability")
+    rows = coverage_plan.run_coverage(base.cells(spark, sf_dir), base.satellites(spark, sf_dir), base.N_TIME, base.STEP_S, base.MASK)
+    files.write_csv(files.availability_rows(rows), path, {"area": "all", "steps": base.N_TIME})
+    back = spark.read.csv(path, schema="cell_idx LONG, lat DOUBLE, lon DOUBLE, availability STRING", header=True)
+    return back.select("cell_idx", F.round("lat", 6).alias("lat_deg"), F.round("lon", 6).alias("lon_deg"), "availability")
+
+
+@_query(
+    """SELECT 'entities' AS list, (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS n, NULL::BIGINT AS id_sum UNION ALL SELECT 'relationships', count(*), sum(n_nationkey)::BIGINT FROM nation
+    UNION ALL SELECT 'intents', count(*), sum(length('i-' || o_orderkey))::BIGINT FROM orders WHERE o_orderstatus = 'O'"""
+)
+def recorded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot recorded with its installed intents, and what is read from it."""
+    path, have = new_folder(spark, "recorded"), more_queries.store(spark, sf_dir)
+    entities.record(have, path, ["INSTALLED"])
+    back = entities.EntityStore.recorded(spark, path)
+    one = lambda rows, name, total: rows.agg(F.lit(name).alias("list"), F.count("*").alias("n"), total.cast("long").alias("id_sum"))
+    number = F.substring_index("z", "-", -1).cast("long")
+    out = one(back.list_entities(), "entities", F.lit(None)).unionByName(one(back.list_relationships(), "relationships", F.sum(number)))
+    ids = F.concat(F.lit("i-"), F.regexp_extract("id", r"(\d+)", 1))
+    return out.unionByName(one(back.list_intents(), "intents", F.sum(F.length(ids))))
+
+
+@_query("SELECT 'p-' || s_suppkey AS sat_id FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 5 > 0")
+def pulled_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of the first source that answers: a dump that is not there, then the store."""
+    gone = new_folder(spark, "gone")
+    found = entities.first_source(lambda: entities.elements(entities.EntityStore.recorded(spark, gone)), lambda: entities.elements(more_queries.store(spark, sf_dir)))
+    return found.select(F.col("sat_id") if "sat_id" in found.columns else F.col("id").alias("sat_id"))
+
+
+@_query(f"WITH {base._CELLS}, p AS (SELECT round(lat, 3) AS lat_deg, round(lon, 3) - 360 * floor((round(lon, 3) + 180) / 360) AS lon_deg, (cell_idx % 90)::DOUBLE AS h FROM cell) SELECT lat_deg, lon_deg, round(avg(h), 6) AS height_m FROM p GROUP BY 1, 2")
+def elevation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevation points as text with a header and a line of units; repeated points are averaged."""
+    path = new_folder(spark, "elevation")
+    rows = base.cells(spark, sf_dir).select(F.concat_ws(",", F.round("lat_deg", 3), F.round("lon_deg", 3), (F.col("cell_idx") % 90).cast("double")).alias("value"))
+    head = spark.createDataFrame([("latitude,longitude,altitude",), ("degrees_north,degrees_east,m",)], "value string")
+    head.unionByName(rows).write.text(path)
+    return files.read_elevation(spark, path).withColumn("height_m", F.round("height_m", 6))
+
+
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def accumulated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events bucket by bucket: each micro-batch is reduced and kept under its number."""
+    rows = _events(spark, sf_dir).select("event_type", "value", "ts")
+    folder, out = new_folder(spark, "buckets"), new_folder(spark, "sums")
+    rows.repartitionByRange(4, "ts").write.parquet(folder)
+    sums = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    rates.accumulate(stateful.file_stream(spark, folder, rows.schema), sums, out, new_folder(spark, "checkpoint"))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+@_query(
+    f"WITH {base._CELLS}, b AS (SELECT cell_idx, lat, unnest(range(4)) AS az_bin FROM cell) SELECT cell_idx, az_bin, round(abs(lat) / 10 * az_bin, 6) AS mask_deg FROM b WHERE abs(lat) / 10 * az_bin > 0"
+)
+def callable_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of a terrain that is a function of the place."""
+    masks = terrain.masks_of(base.cells(spark, sf_dir), lambda lat, lon: F.array(*[F.abs(lat) / 10 * i for i in range(4)]), 4)
+    return masks.select("cell_idx", "az_bin", F.round("mask_deg", 6).alias("mask_deg"))
+
+
+@_query("SELECT s_suppkey, upper(s_name) AS name, s_suppkey % 90 + 0.5 AS lat_deg FROM supplier")
+def patched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field and a nested field of each document replaced by expressions."""
+    docs = _t(spark, sf_dir, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("name"), F.struct(F.lit(0.0).alias("lat_deg")).alias("place")).alias("d"))
+    out = model_plan.patched(docs, {"d.name": F.upper("d.name"), "d.place.lat_deg": (F.col("s_suppkey") % 90 + 0.5).cast("double")})
+    return out.select("s_suppkey", "d.name", "d.place.lat_deg")
+
+
 # Contact times -----------------------------------------------------------------------
 
 
