@@ -358,6 +358,16 @@ def gated_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_inclination_rows(spark, sf_dir))
 
 
+@_query(
+    f"""{_BY_INCLINATION}, p AS (SELECT *, coalesce(pct_k1 >= {GRADE} AND pct_k2 >= {GRADE} AND mbb_pass, false) AS passed FROM row_)
+    SELECT n_sats, planes, inclination_deg, passed, passed AND row_number() OVER (PARTITION BY passed ORDER BY n_sats, inclination_deg) = 1 AS is_winner FROM p"""
+)
+def gated_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least candidate that meets the grade and whose cells have handover chains."""
+    rows = coverage_plan.passing(_rounded(_inclination_rows(spark, sf_dir)), GRADE, gate=True)
+    return coverage_plan.winner(rows, "passed", "n_sats", "inclination_deg").select("n_sats", "planes", "inclination_deg", "passed", "is_winner")
+
+
 @_query(
     f"""{_BY_INCLINATION} SELECT inclination_deg, min(n_sats) FILTER (pct_k1 >= {GRADE}) AS min_n_k1, min(n_sats) FILTER (pct_k2 >= {GRADE}) AS min_n_k2, min(n_sats) FILTER (mbb_pass) AS min_n_mbb
     FROM row_ GROUP BY inclination_deg"""

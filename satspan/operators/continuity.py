@@ -134,7 +134,9 @@ def continuity_map(
     key = "_key"
     made = F.struct(*keys)
     plane = ["plane_uid"] if "plane_uid" in access.columns else []
-    spans = intervals(access.withColumn(key, made), [key, "sat_idx", *plane])
+    # Dealt by cell once: the runs of a satellite, the folds and the counts of a cell follow
+    # without another shuffle. A cell has as many rows as satellites in view and steps.
+    spans = intervals(access.withColumn(key, made).repartition(key), [key, "sat_idx", *plane])
     found = handover(spans, n_time, needed_steps(overlap_s, step_s), different_plane, key, different_sat, cells.withColumn(key, made))
     overlap = F.when(F.col("worst_overlap") < 0, -1.0).otherwise((F.col("worst_overlap") - 1) * float(step_s))
     return found.select(

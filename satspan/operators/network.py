@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satspan.operators.continuity import intervals, timeline
+from satspan.operators.ranking import least_of_later
 
 
 def hour(ts: str) -> Column:
@@ -33,10 +34,9 @@ def forward_value(left: DataFrame, refs: DataFrame, at: str, ref: str, width: fl
     mine = both.withColumn("_near", F.min("_ref").over(falling)).where("_row")
     # A bucket without references takes the first one of the next that has some.
     every = rows.select("_bucket").distinct().unionByName(first, allowMissingColumns=True).groupBy("_bucket").agg(F.max("_first").alias("_first"))
-    later = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = every.select("_bucket", F.min("_first").over(later).alias("_later"))
+    nxt = least_of_later(every, "_bucket", "_first", "_later").select("_bucket", "_later")
     return (
-        mine.join(F.broadcast(nxt), "_bucket", "left")  # one row per bucket
+        mine.join(nxt, "_bucket", "left")  # one row per bucket
         .withColumn(out, F.coalesce("_near", "_later"))
         .select(*left.columns, out)
     )

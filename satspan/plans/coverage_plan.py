@@ -12,8 +12,10 @@ from satspan.operators import continuity
 from satspan.operators.access import Propagator, above_terrain, in_view, satellite_states, two_body
 from satspan.operators.coverage import coverage, summary
 from satspan.sources.constellation import plane_groups, walker_angles
+from satspan.operators.ranking import numbered_rows
 from satspan.sources.entities import EntityStore, elements
 from satspan.sources.grid import EPOCH_JD, julian_day, time_steps
+from satspan.sources.shared import written
 
 
 #: Cell, satellite and step triples a second of the usual estimate.
@@ -40,9 +42,11 @@ def run_coverage(
     access = in_view(cells, propagate(satellites, times), mask, tiled=tiled)
     if terrain is not None:
         access = above_terrain(access, terrain, mask, n_bins)
-    rows = coverage(cells, access, n_steps, ks)
     if overlap_s is None:
-        return rows
+        return coverage(cells, access, n_steps, ks)
+    # Counts and chains are two uses: the pairs are worked out and written once.
+    access = written(access.select("cell_idx", "sat_idx", "t_idx", "elev_deg", *[c for c in ("plane_uid",) if c in access.columns]), "access")
+    rows = coverage(cells, access, n_steps, ks)
     chains = continuity.continuity_map(cells, access, n_steps, step_s, overlap_s, different_plane)
     return rows.join(chains, "cell_idx")
 
@@ -69,7 +73,7 @@ def numbered_satellites(store: EntityStore, ref_epoch_s: int | None = None) -> D
     if found.isEmpty():
         raise ValueError("no platform of the snapshot can be propagated")
     rows = plane_groups(found, "raan_rad", "inc_rad", "a_km")
-    return rows.withColumn("sat_idx", F.row_number().over(Window.orderBy("sat_id")).cast("long") - 1)  # a row per platform
+    return numbered_rows(rows, "sat_idx", "sat_id")
 
 
 def at_points(points: DataFrame, satellites: DataFrame, n_steps: int, step_s: float, ref_epoch_s: float, mask_deg: float = 10.0, ks: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -145,6 +149,8 @@ def shape_sweep(
     keys = ("cell_idx", *CANDIDATE)
     sats = candidate_satellites(candidates_, altitude_km, phasing)
     access = in_view(cells, satellite_states(sats, time_steps(spark, n_steps, step_s)), mask_deg)
+    if overlap_s is not None:
+        access = written(access.select(*keys, "sat_idx", "t_idx", "elev_deg", "plane_uid"), "access")
     every = cells.crossJoin(F.broadcast(candidates_.select(*CANDIDATE)))  # MAX_SHAPES candidates, or a list of sizes
     rows = coverage(every, access, n_steps, ks, keys)
     gate = [F.lit(None).cast("double").alias("pct_mbb")]

@@ -192,7 +192,7 @@ def _handover_sql(rule: str, least: int = 1) -> str:
 
 
 def _handover(spark: SparkSession, sf_dir: str, different_plane: bool) -> DataFrame:
-    spans = continuity.intervals(_access(spark, sf_dir), ["cell_idx", "sat_idx", "plane_uid"])
+    spans = continuity.intervals(_access(spark, sf_dir).repartition("cell_idx"), ["cell_idx", "sat_idx", "plane_uid"])
     found = continuity.handover(spans, N_TIME, 1, different_plane, cells=cells(spark, sf_dir))
     return found.select("cell_idx", "feasible", "worst_overlap", "worst_gap_steps")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satspan.functions.orbit import RE, two_pi
+from satspan.operators.ranking import numbered_rows
 
 ELEMENTS = "sat_idx sat_id shell_id plane_uid slot_id a_km ecc inc_rad raan_rad argp_rad m_rad".split()
 
@@ -97,7 +98,7 @@ def plane_groups(df: DataFrame, *cols: str) -> DataFrame:
     keys = {f"_k{i}": F.rint(F.col(c) * 1000) for i, c in enumerate(cols)}
     keyed = df.withColumns(keys)
     planes = keyed.select(*keys).distinct()
-    ranked = planes.select(*[F.col(k).alias(f"{k}r") for k in keys], (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long").alias("plane_uid"))
+    ranked = numbered_rows(planes, "plane_uid", *keys).select(*[F.col(k).alias(f"{k}r") for k in keys], F.col("plane_uid").cast("long"))
     same = None
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"{k}r"))

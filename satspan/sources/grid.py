@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satspan.functions.orbit import gmst
+from satspan.operators.ranking import numbered_rows
 
 #: Named areas: least and greatest latitude and longitude.
 AREAS = {
@@ -87,16 +88,8 @@ def cell_radius_deg(size_deg: float) -> float:
 
 
 def numbered(cells: DataFrame) -> DataFrame:
-    """Cells with ``cell_idx``, their place in the order of ids.
-
-    Ids are dealt out by range, so a cell's place is that in its partition plus
-    the cells before; one row per partition meets in one task.
-    """
-    dealt = cells.repartitionByRange("cell_id").sortWithinPartitions("cell_id").withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return dealt.join(F.broadcast(before), "_part").withColumn("cell_idx", F.col("_before") + F.col("_place")).drop("_at", "_part", "_place", "_n", "_before")
+    """Cells with ``cell_idx``, their place in the order of ids."""
+    return numbered_rows(cells, "cell_idx", "cell_id")
 
 
 def shards(cells: DataFrame, shard_deg: float, size_deg: float) -> DataFrame:

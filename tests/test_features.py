@@ -312,3 +312,22 @@ def test_progress_of_a_sweep(spark):
     told = []
     progress.with_progress(spark, lambda: spark.range(10).count(), 2, progress.timed(lambda a, b, s: told.append(s)))
     assert told == sorted(told) and told[0] >= 0
+
+
+# --- places in an order -------------------------------------------------------------
+
+
+def test_numbers_and_later_values_without_one_task(spark):
+    from satspan.operators import ranking
+
+    r = random.Random(8)
+    rows = [(i, r.choice([None, 7.0, 7.0, float(r.randrange(50))])) for i in r.sample(range(1000), 400)]
+    table = spark.createDataFrame(rows, "k long, v double").repartition(5)
+    numbered = {x["k"]: x["n"] for x in ranking.numbered_rows(table, "n", "k").collect()}
+    assert numbered == {k: n for n, (k, _) in enumerate(sorted(rows, key=lambda x: x[0]))}
+    later = {x["k"]: x["least"] for x in ranking.least_of_later(table, "k", "v", "least").collect()}
+    for k, _ in rows:
+        assert later[k] == min((v for j, v in rows if j > k and v is not None), default=None)
+    same = ranking.numbered_rows(table.withColumn("k", F.lit(1)), "n", "k").agg(F.countDistinct("n"), F.max("n")).first()
+    assert tuple(same) == (400, 399)
+    assert ranking.numbered_rows(table.where("false"), "n", "k").count() == ranking.least_of_later(table.where("false"), "k", "v", "x").count() == 0
