@@ -1,6 +1,6 @@
 """License scan with a positional index of rare template words.
 
-The templates are short standard licence notices.  The inverse document frequency
+The templates are three dozen standard licence texts and notices.  The inverse document frequency
 of each of their words comes from all documents.  The index has, for each word, its
 postings (template, position) in those templates of whose rarest words it is one:
 a template is posted under as many of its rarest words that no text in which
@@ -15,7 +15,8 @@ Beside this the fixed base phrases are located at every place.
 
 Defined results: null and empty texts have no words and no labels; very long
 texts are scanned whole; repeated rows give equal results; ids may be null and of
-any type; an empty table gives an empty result; extra columns are ignored.
+any type; an empty table gives an empty result; extra columns are ignored.  Of
+equal scores of a template the first place counts; labels are sorted.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satspan.llm.license_texts import TEMPLATES, Template
 from satspan.llm.textbytes import pieces, text_bytes, word_spans
 
 _NOT_WORD = np.zeros(256, dtype=bool)
@@ -43,60 +44,6 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 
-class Template(NamedTuple):
-    label: str
-    text: str
-    keys: tuple[str, ...]
-
-
-#: Standard licence notices, with phrases that must be present.
-TEMPLATES = (
-    Template("mit-notice", "released under the mit license", ("mit license",)),
-    Template(
-        "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
-        " documentation files the software to deal in the software without restriction including without limitation"
-        " the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-        ("permission is hereby granted free of charge", "without restriction"),
-    ),
-    Template("apache-2.0-notice", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    Template(
-        "apache-2.0-text",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with"
-        " the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-        ("apache license version 2 0", "except in compliance"),
-    ),
-    Template(
-        "gpl-3.0-notice",
-        "this work is licensed under the gnu general public license version 3",
-        ("general public license", "version 3"),
-    ),
-    Template(
-        "gpl-text",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
-        " public license as published by the free software foundation",
-        ("gnu general public license", "free software foundation"),
-    ),
-    Template(
-        "bsd-text",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the"
-        " following conditions are met redistributions of source code must retain the above copyright notice",
-        ("redistribution and use in source and binary forms",),
-    ),
-    Template(
-        "mpl-2.0-notice",
-        "this source code form is subject to the terms of the mozilla public license v 2 0",
-        ("mozilla public license", "v 2 0"),
-    ),
-    Template(
-        "isc-text",
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby"
-        " granted provided that the above copyright notice and this permission notice appear in all copies",
-        ("with or without fee is hereby granted",),
-    ),
-    Template("cc-by-4.0-notice", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
-)
-
 #: The share of template words that must stand in place.
 LEAST_SCORE = 0.7
 #: Bytes of text that are worked on at once.
@@ -131,12 +78,28 @@ class Index:
 
     def candidates(self, places: dict[str, list[int]]) -> list[tuple[int, int]]:
         """Alignments (template, shift) with enough votes; ``places`` has the
-        positions of index words in a text."""
+        positions of index words in a text.
+
+        Words are looked up from the highest IDF down.  What a template can still
+        get is the number of its places under the words to come, so one that
+        cannot reach its least votes is dropped, and the rest of the words (the
+        common ones, with the most places) are not looked up once all are."""
+        held = sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w))
+        left = Counter(k for w in held for k, _ in self.postings[w])
         votes: dict[tuple[int, int], int] = {}
-        for w in sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w)):
+        top: Counter[int] = Counter()
+        live = {k for k, n in left.items() if n >= self.least[k]}
+        for w in held:
+            if not live:
+                break
             for k, at in self.postings[w]:
+                left[k] -= 1
+                if k not in live:
+                    continue
                 for shift in {p - at + d for p in places[w] for d in range(-SLACK, SLACK + 1)}:
-                    votes[k, shift] = votes.get((k, shift), 0) + 1
+                    n = votes[k, shift] = votes.get((k, shift), 0) + 1
+                    top[k] = max(top[k], n)
+            live = {k for k in live if top[k] + left[k] >= self.least[k] and left[k]}
         return sorted(x for x, n in votes.items() if n >= self.least[x[0]])
 
     def match(self, words: list[str], places: dict[str, list[int]]) -> list[tuple[str, float, int, int]]:

@@ -264,7 +264,7 @@ def test_license_templates_match_brute_force(spark):
     """Every template at every shift of every text."""
     m, r = license_index, random.Random(11)
     rows = [prose(i, 40) for i in range(10)]
-    for i in range(80):
+    for i in range(110):
         own = r.choice(m.TEMPLATES).text.split()
         for _ in range(r.randrange(0, max(1, len(own) // 3))):
             k = r.randrange(len(own))
@@ -377,3 +377,55 @@ def test_pieces_cover_a_batch():
 
     batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": ["x" * (i * 10) if i % 4 else None for i in range(9)]})
     assert [r for p in pieces(batch, "text", 50) for r in p.column(0).to_pylist()] == list(range(9))
+
+
+def test_license_texts_that_name_no_license(spark):
+    """Texts with licences whose names do not occur, in the middle of prose, whole and
+    with words changed: the method labels what the base phrases miss."""
+    r = random.Random(12)
+    given, want = [], []
+    for t in license_index.TEMPLATES:
+        if any(p in t.text for p, _ in license_index.BASE) or len(t.text.split()) < 12:
+            continue
+        for k in range(6):
+            words = t.text.split()
+            keys = [w for key in t.keys for w in key.split()]
+            for i in range(len(words)):
+                if k and words[i] not in keys and r.random() < 0.08:
+                    words[i] = r.choice(["work", "code", "programme", "owner", "item"])
+            given.append(prose(100 + len(given), 150) + " /* " + " ".join(words).upper() + " */ " + prose(900 + len(given), 60))
+            want.append(t.label)
+    clean = [prose(3000 + i, 300) + " permission to use the software is a condition of the license and copyright notice" for i in range(40)]
+    found = {x["doc_id"]: x for x in license_index.scan(documents(spark, given + clean)).collect()}
+    hits = sum(label in found[i]["labels"].split(",") for i, label in enumerate(want))
+    assert len(want) >= 90 and hits >= 0.9 * len(want)
+    assert all(found[i]["base_labels"] == "" for i in range(len(want)))
+    assert all(found[len(want) + i]["labels"] == "" for i in range(len(clean)))
+    assert 30 <= len(license_index.TEMPLATES) <= 200
+
+
+def test_license_words_are_looked_up_by_falling_idf(spark):
+    """The early end changes no candidate, and a text of common words looks up few."""
+    from collections import Counter
+
+    t = license_index.TEMPLATES
+    idf = {w: 1.0 / (1 + sum(w in x.text.split() for x in t)) for x in t for w in x.text.split()}
+    index = license_index.Index(t, idf)
+    r = random.Random(13)
+    common = sorted(idf, key=idf.get)[:25]
+
+    def everything(places):
+        votes = Counter()
+        for w in places:
+            for k, at in index.postings.get(w, ()):
+                votes.update({(k, p - at + d) for p in places[w] for d in range(-license_index.SLACK, license_index.SLACK + 1)})
+        return sorted(x for x, n in votes.items() if n >= index.least[x[0]])
+
+    for trial in range(60):
+        words = [r.choice(common) for _ in range(r.randrange(80))] + r.choice(t).text.split()[r.randrange(4) :] + [r.choice(common) for _ in range(20)]
+        if trial % 3 == 0:
+            words = [r.choice(common) for _ in range(300)]
+        places = {}
+        for i, w in enumerate(words):
+            places.setdefault(w, []).append(i)
+        assert index.candidates(places) == everything(places)
