@@ -264,3 +264,21 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
     out = corpus_pipeline.run(spark, folder)
     assert out.count() == 0 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+
+
+def test_weights_begin_with_what_training_texts_learned(spark):
+    from satspan.llm import context_mixing
+
+    docs = documents(spark, texts() + [prose(i, 300) for i in range(60)])
+    scores = lambda df: sorted((r["doc_id"], r["score"]) for r in context_mixing.score(df).collect())
+    got, again = scores(docs), scores(docs.repartition(5))
+    assert [i for i, _ in got] == [i for i, _ in again] and all(a == pytest.approx(b, rel=1e-5) for (_, a), (_, b) in zip(got, again))
+    before = context_mixing.fit_start
+    context_mixing.fit_start = lambda *a: context_mixing.first_start()
+    try:
+        plain = scores(docs)
+    finally:
+        context_mixing.fit_start = before
+    assert sum(s for _, s in got) > sum(s for _, s in plain)
+    short = scores(documents(spark, ["a b c", None]))  # no text that is long enough to learn from
+    assert len(short) == 3 and all(s < 0 for _, s in short)
