@@ -210,7 +210,7 @@ def test_model_matches_bit_by_bit():
     table = np.where(r.random(m.FIRST_SLOT[-1]) < 0.5, 0, r.integers(-40, 40, m.FIRST_SLOT[-1])).astype(np.int8)
     rows = [prose(1, 60), "", None, "ÉÈ ñ 漢字 12% " * 9, "a", prose(2, 25) + "\n", "x" * 200]
     s = m.stream(pa.array(rows), letters)
-    got = m.code_lengths(s, letters, m.context_rows(s, letters), table)
+    got = m.code_lengths(s, letters, table)
     assert got == pytest.approx([one_by_one(t or "", letters, table) for t in rows], rel=2e-3)
 
 
@@ -218,7 +218,7 @@ def test_weights_are_carried_through_a_long_text():
     m = context_mixing
     letters = m.alphabet([97])
     s = m.stream(pa.array(["a" * 8192, "a" * 16384]), letters)
-    low, high = m.code_lengths(s, letters, m.context_rows(s, letters), np.zeros(m.FIRST_SLOT[-1], dtype=np.int8))
+    low, high = m.code_lengths(s, letters, np.zeros(m.FIRST_SLOT[-1], dtype=np.int8))
     assert high - low < 0.9 * low
 
 
