@@ -258,7 +258,7 @@ def recorded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("SELECT 'p-' || s_suppkey AS sat_id FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 5 > 0")
-def pulled_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_source_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the first source that answers: a dump that is not there, then the store."""
     gone = new_folder(spark, "gone")
     found = entities.first_source(lambda: entities.elements(entities.EntityStore.recorded(spark, gone)), lambda: entities.elements(more_queries.store(spark, sf_dir)))
