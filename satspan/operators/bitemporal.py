@@ -87,6 +87,8 @@ class _Versions(StatefulProcessor):
             if key[0] is None:
                 continue
             known = frame[frame["commit_us"] <= self.commit_us]
+            # Of a batch only the last of each valid time meets the state.
+            known = known.sort_values(["commit_us", "value"]).drop_duplicates("valid_us", keep="last")
             for valid, commit, value in zip(known["valid_us"], known["commit_us"], known["value"]):
                 seen = True
                 k = (int(valid),)

@@ -15,7 +15,7 @@ floats of whole numbers beside nulls.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,8 +28,10 @@ from satspan.sources.shared import new_folder
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    """The files of a folder, some in a micro-batch; with None all that are there."""
+    read = spark.readStream.schema(schema)
+    return (read if files_per_batch is None else read.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -51,15 +53,26 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-def in_parts(rows: DataFrame, time: str, parts: int, late: str, label: str) -> str:
-    """A folder of ``rows`` in files by time, as a stream would find them, and a
-    last file with a heartbeat far enough ahead that everything settles."""
-    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, label)
-    rows.repartitionByRange(parts, time).write.parquet(folder)
+def run_in_parts(rows: DataFrame, time: str, parts: int, late: str, label: str, make: Callable[[DataFrame], DataFrame], out: str) -> None:
+    """Run ``make`` of a stream of ``rows`` that arrive in ``parts`` parts by time, and
+    of a heartbeat far enough ahead that everything settles.
+
+    A part is a micro-batch: it is written, in as many files as tasks write, and the
+    query goes on from its checkpoint with what is there.  So no part comes before an
+    earlier one: files of one write are found in the order of their last change,
+    which is that of tasks' ends, and a later one's watermark would make the others late.
+    """
+    spark = rows.sparkSession
+    folder, checkpoint = new_folder(spark, label), new_folder(spark, "checkpoint")
+    at = F.unix_micros(time)
+    cuts = sorted({int(x) for x in rows.select(at.cast("double").alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)})
+    low = lambda i: at.isNull() if i == 0 else F.lit(False)
+    ranges = [low(i) | ((at > a if a is not None else F.lit(True)) & (at <= b if b is not None else F.lit(True))) for i, (a, b) in enumerate(zip([None, *cuts], [*cuts, None]))]
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != time]
     beat = rows.agg(F.max(time).alias(time)).select((F.col(time) + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 400 DAYS")).alias(time), *empty)
-    beat.select(*rows.columns).write.mode("append").parquet(folder)
-    return folder
+    for part in [*[rows.where(r) for r in ranges], beat.select(*rows.columns)]:
+        part.write.mode("append").parquet(folder)
+        run_available(make(file_stream(spark, folder, rows.schema, None)), out, checkpoint)
 
 
 class _Segments(StatefulProcessor):
@@ -70,19 +83,17 @@ class _Segments(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "t long", "n long")
+        self.waiting = handle.getValueState("waiting", "starts array<bigint>")
         self.open = handle.getValueState("open", "t long, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is not None:
-            first = None
-            for frame in rows:
-                for t in frame["start_s"].unique():
-                    self.waiting.updateValue((int(t),), (1,))
-                    first = int(t) if first is None else min(first, int(t))
-            if first is not None:
+            new = {int(t) for frame in rows for t in frame["start_s"].unique()}
+            if new:
+                # A row of a key is one call each to the state; its starts are one value instead.
+                self.waiting.update((sorted(new.union(self.waiting.get()[0] if self.waiting.exists() else ())),))
                 # A start is settled when no row of its second can come any more.
-                self.handle.registerTimer(first * 1000 + 999)
+                self.handle.registerTimer(min(new) * 1000 + 999)
         else:
             for _ in rows:
                 pass
@@ -90,12 +101,11 @@ class _Segments(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        starts = sorted(k[0] for k in self.waiting.keys())
+        starts = list(self.waiting.get()[0]) if self.waiting.exists() else []
         settled = [t for t in starts if t * 1000 + 999 <= now]
         open_ = self.open.get() if self.open.exists() else None
         out = []
         for t in settled:
-            self.waiting.removeKey((t,))
             if open_ is not None:
                 out.append((key[0], open_[0], t, True))
             open_ = (t, False)
@@ -108,7 +118,10 @@ class _Segments(StatefulProcessor):
                 self.handle.registerTimer((open_[0] + self.tail) * 1000)
         rest = starts[len(settled) :]
         if rest:
+            self.waiting.update((rest,))
             self.handle.registerTimer(rest[0] * 1000 + 999)
+        elif starts:
+            self.waiting.clear()
         return iter([pd.DataFrame(out, columns=[self.unit, "t", "end_s", "settled"])] if out else [])
 
     def close(self) -> None:
@@ -148,7 +161,7 @@ class _Dump(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, id long", "n long")
+        self.waiting = handle.getListState("waiting", "us long, id long, n long")
         self.counts = handle.getValueState("counts", "n_dump long, n_tail long, ids array<bigint>")
         self.done = handle.getValueState("done", "us long")
         self.ended = handle.getValueState("ended", "ended boolean")
@@ -164,9 +177,8 @@ class _Dump(StatefulProcessor):
                 if not self.done.exists() or at < self.done.get()[0]:
                     self.done.update((at,))
             held = frame[~frame["is_mark"]].groupby(["at_us", "id"]).size()
-            for (us, i), n in held.items():
-                before = self.waiting.getValue((int(us), int(i)))
-                self.waiting.updateValue((int(us), int(i)), (int(n) + (before[0] if before else 0),))
+            if len(held):  # one call to the state for all rows of the batch
+                self.waiting.appendList([(int(us), int(i), int(n)) for (us, i), n in held.items()])
             low = int(frame["at_us"].min())
             first = low if first is None else min(first, low)
         if first is not None:
@@ -181,17 +193,21 @@ class _Dump(StatefulProcessor):
             done = self.done.get()[0] if self.done.exists() else None
             end = None if done is None else done + self.window_ms * 1000
             n_dump, n_tail, ids = self.counts.get() if self.counts.exists() else (0, 0, [])
-            ids, rest = list(ids), None
-            for (us, i), (n,) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+            ids, later = list(ids), []
+            held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+            for us, i, n in held:
                 if us // 1000 + 1 > now:
-                    rest = us if rest is None else min(rest, us)
-                    continue
-                self.waiting.removeKey((us, i))
-                if done is None or us <= done:
+                    later.append((us, i, n))
+                elif done is None or us <= done:
                     n_dump += n
                 elif us <= end:
                     n_tail += n
-                    ids = sorted([*ids, *[i] * n])[: self.samples]
+                    ids = sorted([*ids, *[i] * min(n, self.samples)])[: self.samples]
+            rest = min((us for us, _, _ in later), default=None)
+            if later:
+                self.waiting.put(later)
+            elif held:
+                self.waiting.clear()
             self.counts.update((n_dump, n_tail, ids))
             if end is not None and end // 1000 + 1 <= now:
                 self.ended.update((True,))
