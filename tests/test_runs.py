@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from satspan.operators import access, continuity
+from satspan.plans import coverage_plan
 from satspan.sources.constellation import walker
 from satspan.sources.grid import time_steps
 
@@ -76,3 +77,13 @@ def test_what_handover_folds_does_not_grow_with_the_satellites(spark):
         states = access.satellite_states(walker(spark, n, 6, 1, 650.0, 53.0), time_steps(spark, 6, 60.0))
         runs = continuity.runs_in_view(access.in_view(cells_of(spark, 30), states, 10.0, dealt=True), ["cell_idx"], 6)
         assert runs.groupBy("cell_idx").count().agg(F.max("count")).first()[0] <= 6 * 7 // 2
+
+
+def test_coverage_with_an_overlap_in_steps(spark):
+    cells, sats = cells_of(spark, 30), walker(spark, 240, 6, 1, 650.0, 53.0)
+    with_chains = coverage_plan.run_coverage(cells, sats, 6, 60.0, 10.0, least_overlap=2)
+    plain = coverage_plan.run_coverage(cells, sats, 6, 60.0, 10.0)
+    assert rows_of(with_chains, *plain.columns) == rows_of(plain, *plain.columns)
+    spans = continuity.intervals(access.in_view(cells, access.satellite_states(sats, time_steps(spark, 6, 60.0)), 10.0), ["cell_idx", "sat_idx"])
+    want = continuity.handover(spans, 6, 2, cells=cells)
+    assert rows_of(with_chains, "cell_idx", "mbb_feasible", "mbb_n_handovers") == rows_of(want, "cell_idx", "feasible", "n_handovers")
