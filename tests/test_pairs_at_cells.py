@@ -23,7 +23,7 @@ def test_cells_get_the_rows_of_their_place(spark, monkeypatch):
     assert got.where("cell_idx < 50").select(F.spark_partition_id()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name, most", [("contact_times", 1.0)])
+@pytest.mark.parametrize("name, most", [("contact_times", 1.0), ("access_intervals", 0.4)])
 def test_files_of_all_pairs_stay_small(spark, tmp_path, monkeypatch, name, most):
     """Pairs grow with cells times satellites: a row may take some bits, not bytes."""
     k = (F.col("id") % 4 + F.floor(F.col("id") / 4) * 3600).cast("long")  # 50 cells at each of four places
