@@ -19,8 +19,13 @@ def test_cells_get_the_rows_of_their_place(spark, monkeypatch):
     assert got.columns == want.columns == ["cell_idx", "sat_idx"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == (50 + 8) * 4
-    # one place with many cells is no task of its own
+    # one place with many cells is no task of its own, and rows are dealt once
     assert got.where("cell_idx < 50").select(F.spark_partition_id()).distinct().count() > 1
+    plan = access.pairs_at_cells(rows, cells)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(_dealt") == 2, plan
+    # two places of one hash
+    monkeypatch.setattr(access.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    assert sorted(map(tuple, access.pairs_at_cells(rows, cells).collect())) == sorted(map(tuple, want.collect()))
 
 
 @pytest.mark.parametrize("name, most", [("contact_times", 1.0), ("access_intervals", 0.4)])
